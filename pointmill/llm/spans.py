@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import BASES, INVERSES, WordHashes, map_arrow, mix, powers, signed, staged
+from pointmill.llm.common import BASES, INVERSES, WordHashes, discard, map_arrow, mix, powers, signed, staged
 
 K = 13
 
@@ -107,49 +107,57 @@ def paths(docs: DataFrame, span: int, key: str = "doc_id", text: str = "text") -
 
 
 def _window_hashes(docs: DataFrame, wanted: DataFrame, span: int, key: str, text: str) -> DataFrame:
-    """(p1, p2, first, i, w1, w2): windows of the wanted paths (doc, start, n, p1, p2, first)."""
+    """(w1, w2, first, start, i): windows, by their identity, of the wanted paths (first, start, n)."""
     box: list = []
-    by_doc = wanted.groupBy("first").agg(F.collect_list(F.struct("p1", "p2", "start", "n")).alias("paths"))
+    by_doc = wanted.groupBy("first").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(by_doc, F.col("doc_id") == F.col("first"))
 
     def run(batch: pa.RecordBatch):
         if not box:
             box.append(_hashes())
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(5)]
         for doc, t, want in zip(batch.column("first").to_pylist(), batch.column("text").to_pylist(), batch.column("paths").to_pylist()):
             roll = Rolling(words_of(t), box[0])
             want = [w for w in want if w["start"] + w["n"] + span - 1 <= roll.n]
             if not want:
                 continue
-            start, n = np.array([w["start"] for w in want]), np.array([w["n"] for w in want])
+            start, n = np.array([w["start"] for w in want], np.int32), np.array([w["n"] for w in want])
             i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(start, n) + i
-            w1, w2 = roll.of(at, at + span)
-            for x, y in zip(out, (np.repeat(np.array([w["p1"] for w in want], np.int64), n), np.repeat(np.array([w["p2"] for w in want], np.int64), n), np.full(len(i), doc, np.int64), i.astype(np.int32), w1.view(np.int64), w2.view(np.int64))):
+            start = np.repeat(start, n)
+            w1, w2 = roll.of(start + i, start + i + span)
+            for x, y in zip(out, (w1.view(np.int64), w2.view(np.int64), np.full(len(i), doc, np.int64), start, i.astype(np.int32))):
                 x.append(y)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["p1", "p2", "first", "i", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["w1", "w2", "first", "start", "i"])
 
-    return map_arrow(d, run, "p1 long, p2 long, first long, i int, w1 long, w2 long")
+    return map_arrow(d.select("first", "text", "paths"), run, "w1 long, w2 long, first long, start int, i int")
 
 
 def repeated_windows(docs: DataFrame, span: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, n): runs of windows of a document that also start in a document of smaller doc_id."""
     every = staged(paths(docs, span, key, text))
-    distinct = staged(every.groupBy("m", "p1", "p2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "start", "n")).alias("at")))
+    # a minimizer in one place only belongs to no repeat; most paths end here
+    twice = every.groupBy("m").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("m")
+    live = staged(every.join(twice, "m", "left_semi"))
+    discard(every)
+    distinct = live.groupBy("m", "p1", "p2").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"), F.max("doc_id").alias("last"))
+    distinct = staged(distinct.select("m", "p1", "p2", F.col("at.doc_id").alias("first"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), "last"))
     branching = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m")
-    at_branches = staged(distinct.join(branching, "m", "left_semi").select("p1", "p2", "first", F.col("at.start").alias("start"), F.col("at.n").alias("n")))
+    at_branches = distinct.join(branching, "m", "left_semi").select("first", "start", "n")
     windows = staged(_window_hashes(docs, at_branches, span, key, text))
     # a window of several paths: the smallest document of any of them
     source = windows.groupBy("w1", "w2").agg(F.min("first").alias("source"), F.max("first").alias("other")).where("source < other").select("w1", "w2", "source")
-    elsewhere = windows.join(source, ["w1", "w2"]).where("source < first").groupBy("p1", "p2").agg(F.collect_list(F.struct("i", "source")).alias("split"))
-    whole = distinct.where("first < last").select("p1", "p2", "first")
-    known = whole.join(elsewhere, ["p1", "p2"], "full_outer")
-    met = every.join(known, ["p1", "p2"])
-    whole_path = (F.col("first") < F.col("doc_id")).eqNullSafe(F.lit(True))
-    own = met.where(whole_path).select("doc_id", "start", "n")
-    part = met.where(~whole_path).select("doc_id", F.explode(F.filter("split", lambda s: s["source"] < F.col("doc_id"))).alias("s"), "start")
-    return own.union(part.select("doc_id", (F.col("start") + F.col("s.i")).alias("start"), F.lit(1).alias("n")))
+    elsewhere = windows.join(source, ["w1", "w2"]).where("source < first").groupBy("first", "start").agg(F.collect_list(F.struct("i", "source")).alias("split"))
+    known = distinct.select("p1", "p2", "first", "start", "last").join(elsewhere, ["first", "start"], "left")
+    known = known.where("first < last or split is not null").select("p1", "p2", "first", "split")
+    met = live.select("p1", "p2", "doc_id", "start", "n").join(known, ["p1", "p2"])
+    whole_path = F.col("first") < F.col("doc_id")
+    own = F.array(F.struct("start", "n"))
+    part = F.transform(F.filter("split", lambda s: s["source"] < F.col("doc_id")), lambda s: F.struct((F.col("start") + s["i"]).alias("start"), F.lit(1).alias("n")))
+    runs = met.select("doc_id", F.explode(F.when(whole_path, own).otherwise(part)).alias("run"))
+    out = staged(runs.select("doc_id", "run.start", "run.n"))
+    discard(live, distinct, windows)
+    return out
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,stop:int>>"
