@@ -273,10 +273,12 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     all_grams = rest.select("cls", "label", "n", F.explode("grams").alias("gram"))
     df = all_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     ranked = all_grams.join(df, "gram").groupBy("cls", "n", "label").agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("lo") != F.col("hi"), F.col("df")).otherwise(F.lit(0)).alias("many"), "gram"))).alias("o"))
-    prefix = ranked.select("cls", "label", "n", F.explode(F.expr(f"slice(o, 1, int(n - floor((n * {percent} + 99) / 100) + 1))")).alias("p")).where("p.many > 0")
-    prefix = staged(prefix.select("cls", "label", "n", F.col("p.gram").alias("gram")))
+    prefix = ranked.select("cls", "label", "n", F.posexplode(F.expr(f"slice(o, 1, int(n - floor((n * {percent} + 99) / 100) + 1))")).alias("pos", "p")).where("p.many > 0")
+    prefix = staged(prefix.select("cls", "label", "n", "pos", F.col("p.gram").alias("gram")))
+    # at the first n-gram that two linked sets share, what follows on either side must suffice
     x, y = prefix.alias("x"), prefix.alias("y")
-    pairs = x.join(y, F.expr(f"x.gram = y.gram and x.label <> y.label and x.cls < y.cls and x.n * 100 >= {percent} * y.n and y.n * 100 >= {percent} * x.n"))
+    enough = f"least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"x.gram = y.gram and x.label <> y.label and x.cls < y.cls and {enough}"))
     pairs = pairs.select(F.col("x.cls").alias("g"), F.col("y.cls").alias("cls")).distinct()
     met = staged(pairs.select("g", F.pmod(F.xxhash64("cls"), F.lit(16)).cast("int").alias("part"), "cls"))
     heads = met.select("g", "part", F.col("g").alias("cls")).distinct()
