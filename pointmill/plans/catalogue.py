@@ -1,5 +1,266 @@
-"""Named queries of the time-series operators over the driver's tables, each with its DuckDB SQL."""
+"""Named queries of the time-series operators over the driver's tables, each with its DuckDB SQL.
+
+Series are the event types of `events`; `nulls` makes the values up to 5 unknown. Sums are rounded on
+both sides, because their order isn't fixed.
+"""
 
 from __future__ import annotations
 
-CATALOGUE: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointmill.errors import EngineError
+from pointmill.operators import integral, scan, transforms, windows
+from pointmill.plans.client import Client, dashboard
+from pointmill.plans.command import run as run_command
+from pointmill.sources.tables import events
+
+HOUR = 3600 * 10**9
+WIDE = 6 * HOUR
+#: 2024-01-05 and 2024-01-20, and a bound 1 ns off a window's edge.
+T0, T1 = 1704412800 * 10**9, 1705708800 * 10**9
+OFF = T0 + 1
+
+Query = Callable[[SparkSession, str], DataFrame]
+CATALOGUE: dict[str, tuple[Query, str | None]] = {}
+
+P = "p as (select event_type as series, epoch_us(ts) * 1000 as time_ns, value from events)"
+N = f"{P}, n as (select series, time_ns, case when value > 5 then value end as value from p)"
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        CATALOGUE[name] = (f, sql)
+        return f
+
+    return keep
+
+
+def nulls(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.when(F.col("value") > 5, F.col("value")))
+
+
+def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, to) for c in columns})
+
+
+# scans
+
+_add("select_range", f"with {P} select * from p where time_ns between {T0} and {T1}")(
+    lambda s, d: scan.select_range(events(s, d, T0, T1), ["value"], T0, T1))
+_add("select_fields_order", f"with {P} select series, time_ns, value as b, value * 2 as a from p where time_ns > {T1}")(
+    lambda s, d: scan.select_range(events(s, d, T1 + 1).select("series", "time_ns", (F.col("value") * 2).alias("a"), F.col("value").alias("b")), ["b", "a"], T1 + 1))
+_add("select_timestamps_only", f"with {P} select series, time_ns from p where time_ns < {T0}")(
+    lambda s, d: scan.select_range(events(s, d, None, T0 - 1), [], None, T0 - 1))
+_add("select_first_n", f"with {P} select series, time_ns, value from (select *, row_number() over (partition by series order by time_ns) k from p where time_ns >= {T0}) where k <= 25")(
+    lambda s, d: scan.select_first(events(s, d, T0), ["*"], T0, None, 25))
+_add("select_last_n", f"with {P} select series, time_ns, value from (select *, row_number() over (partition by series order by time_ns desc) k from p where time_ns <= {T1}) where k <= 25")(
+    lambda s, d: scan.select_last(events(s, d, None, T1), ["*"], None, T1, 25))
+_add("select_series_limit", f"with {P} select * from p where series = 'click' and time_ns >= {T0} order by time_ns limit 40")(
+    lambda s, d: scan.select_series(events(s, d, T0), "click", ["*"], T0, first=40))
+_add("select_series_last", f"with {P} select * from p where series = 'view' order by time_ns desc limit 40")(
+    lambda s, d: scan.select_series(events(s, d), "view", ["*"], last=40))
+_add("count_points", f"with {P} select series, count(*) as npoints, min(time_ns) as time_first, max(time_ns) as time_last from p where time_ns between {T0} and {T1} group by series")(
+    lambda s, d: scan.count_points(events(s, d, T0, T1), T0, T1))
+_add("count_empty_range", f"with {P} select distinct series, 0::bigint as npoints, 100::bigint as time_first, 200::bigint as time_last from p")(
+    lambda s, d: scan.count_points(events(s, d), 100, 200, scan.list_series(events(s, d))))
+_add("list_series", f"with {P} select distinct series from p")(lambda s, d: scan.list_series(events(s, d)))
+_add("active_series", f"with {P} select distinct series from p where time_ns between {T0} and {T0 + HOUR}")(
+    lambda s, d: scan.active_series(events(s, d, T0, T0 + HOUR), T0, T0 + HOUR))
+
+# windows
+
+
+def _windows(source: str, w: int, t0: int | None, t1: int | None, value: str = "value") -> str:
+    up = None if t0 is None else -(-t0 // w) * w
+    start = f"min(time_ns) // {w} * {w}" if up is None else f"greatest({up}, min(time_ns) // {w} * {w})"
+    upper = "" if t1 is None else f"and time_ns <= {t1}"
+    return f"""v as (select series, time_ns, {value} as x from {source}),
+    lead_ as (select series, {start} as start_ from v group by series),
+    a as (select series, time_ns // {w} * {w} as window_ns, sum(x::double) as s, min(x) as lo, max(x) as hi, count(x) as n from v join lead_ using (series) where time_ns >= start_ {upper} group by all),
+    g as (select series, unnest(range(any_value(start_), max(window_ns) + 1, {w})) as window_ns from a join lead_ using (series) group by series),
+    w as (select series, window_ns, coalesce(s, 0) as s, lo, hi, coalesce(n, 0) as n, case when n > 0 then s / n end as m from g left join a using (series, window_ns))"""
+
+
+for _name, _column, _kind in (("sum", "round(s, 6)", "value_sum"), ("min", "lo", "value_min"), ("max", "hi", "value_max"), ("count", "n", "value_n"), ("mean", "round(m, 6)", "value_mean")):
+    def _one(s: SparkSession, d: str, kind: str = _kind) -> DataFrame:
+        w = windows.window_agg(nulls(events(s, d)), ["value"], window_ns=WIDE).select("series", "window_ns", kind)
+        return rounded(w, kind) if kind in ("value_sum", "value_mean") else w
+
+    _add(f"window_{_name}", f"with {N}, {_windows('n', WIDE, None, None)} select series, window_ns, {_column} as {_kind} from w")(_one)
+
+_ALL = "round(s, 6) as value_sum, lo as value_min, hi as value_max, n as value_n, round(m, 6) as value_mean"
+_add("window_leading_partial", f"with {P}, {_windows('p', WIDE, OFF, T1)} select series, window_ns, {_ALL} from w")(
+    lambda s, d: rounded(windows.window_agg(events(s, d), ["value"], OFF, T1, WIDE), "value_sum", "value_mean"))
+_add("window_dense_gaps", f"with {N}, {_windows('n', HOUR // 2, T0, T0 + 60 * HOUR)} select series, window_ns, {_ALL} from w")(
+    lambda s, d: rounded(windows.window_agg(nulls(events(s, d)), ["value"], T0, T0 + 60 * HOUR, HOUR // 2), "value_sum", "value_mean"))
+_add("window_sentinels", f"with {N}, {_windows('n', HOUR // 2, T0, T0 + 60 * HOUR)} select series, window_ns, coalesce(lo, 'inf'::double) as value_min, coalesce(hi, '-inf'::double) as value_max from w")(
+    lambda s, d: windows.window_agg(nulls(events(s, d)), ["value"], T0, T0 + 60 * HOUR, HOUR // 2, sentinels=True).select("series", "window_ns", "value_min", "value_max"))
+_add("sum_compute", f"with {N}, {_windows('n', WIDE, None, None, '2 * value + 1')} select series, window_ns, round(s, 6) as sum, lo as min, hi as max, n, round(m, 6) as mean from w")(
+    lambda s, d: rounded(windows.window_compute(nulls(events(s, d)), "2 * value + 1", window_ns=WIDE), "sum", "mean"))
+
+# integrals
+
+_TRAPEZOID = "sum((pv + value) * (time_ns - pt)::double / 2e9)"
+
+
+def _integral(source: str, where: str) -> str:
+    return f"""l as (select *, lag(value) over (partition by series order by time_ns) as pv, lag(time_ns) over (partition by series order by time_ns) as pt from {source} where {where}),
+    i as (select series, min(time_ns) as t0_ns, max(time_ns) as t1_ns, case when count(*) <> count(value) then null when count(*) = 1 then any_value(value) else {_TRAPEZOID} end as i, count(*) as k from l group by series)
+    select series, t0_ns, t1_ns, round(i, 4) as value_integral, case when k > 1 then round(i / ((t1_ns - t0_ns)::double / 1e9), 6) end as value_average from i"""
+
+
+def _integrate(df: DataFrame, t0=None, t1=None) -> DataFrame:
+    return rounded(rounded(integral.integrate(df, ["value"], t0, t1), "value_integral", to=4), "value_average")
+
+
+_add("integral", f"with {P}, {_integral('p', f'time_ns between {T0} and {T1}')}")(lambda s, d: _integrate(events(s, d, T0, T1), T0, T1))
+_add("integral_null", f"with {N}, {_integral('n', 'true')}")(lambda s, d: _integrate(nulls(events(s, d))))
+_add("integral_single_point", f"with {P}, one as (select * from p qualify row_number() over (partition by series order by time_ns) = 1), {_integral('one', 'true')}")(
+    lambda s, d: _integrate(scan.select_first(events(s, d), n=1)))
+_add("time_weighted_avg", f"with {P}, {_integral('p', 'true').replace('select series, t0_ns, t1_ns, round(i, 4) as value_integral, case', 'select series, case')}")(
+    lambda s, d: _integrate(events(s, d)).select("series", "value_average"))
+
+# formulas
+
+for _name, _formula, _sql in (
+    ("compute_arith", "-(value - 3) * 2 / 7 + value", "-(value - 3) * 2 / 7 + value"),
+    ("compute_log", "ln(value) + log2(value) - log10(value)", "ln(value) + log2(value) - log10(value)"),
+    ("compute_trig", "sin(value) + cos(2 * value)", "sin(value) + cos(2 * value)"),
+    ("compute_minmax", "min(value, 50) + max(10, value)", "case when value is not null then least(value, 50) + greatest(10, value) end"),
+    ("compute_pow", "pow(value, 0.5) + exp(-value)", "pow(value, 0.5) + exp(-value)"),
+    ("compute_const", "pi() * e()", "pi() * exp(1.0)"),
+    ("compute_null", "value + 1", "value + 1"),
+):
+    def _formula_query(s: SparkSession, d: str, f: str = _formula) -> DataFrame:
+        return rounded(scan.compute(nulls(events(s, d, T0, T0 + 48 * HOUR)), f), "value", to=9)
+
+    _add(_name, f"with {N} select series, time_ns, round({_sql}, 9) as value from n where time_ns between {T0} and {T0 + 48 * HOUR}")(_formula_query)
+
+_IEEE = "case when value > 100 then 'inf'::double when value > 50 then '-inf'::double else 'nan'::double end"
+_add("compute_div_zero", f"with {P} select series, time_ns, case when value > 50 then '+inf' else 'log' end as kind, {_IEEE} is not null as known from p")(
+    lambda s, d: scan.compute(events(s, d), "value / (value - value)").select("series", "time_ns", "value")
+    .join(scan.compute(events(s, d), "ln(value - value) + value").select("series", "time_ns", F.col("value").alias("low")), ["series", "time_ns"])
+    .join(events(s, d).select("series", "time_ns", F.col("value").alias("v")), ["series", "time_ns"])
+    .select("series", "time_ns", F.when((F.col("value") == float("inf")) & (F.col("low") == float("-inf")), F.when(F.col("v") > 50, F.lit("+inf")).otherwise(F.lit("log"))).alias("kind"), (F.col("value").isNotNull()).alias("known")))
+_add("compute_last_n", f"with {N} select series, time_ns, round(value * 3, 9) as value from (select *, row_number() over (partition by series order by time_ns desc) k from n) where k <= 10")(
+    lambda s, d: rounded(scan.compute(nulls(events(s, d)), "value * 3", last=10), "value", to=9))
+_add("compute_first_n", f"with {N} select series, time_ns, round(value * 3, 9) as value from (select *, row_number() over (partition by series order by time_ns) k from n) where k <= 10")(
+    lambda s, d: rounded(scan.compute(nulls(events(s, d)), "value * 3", first=10), "value", to=9))
+
+# transforms
+
+_LAG = f"{N}, l as (select *, lag(value) over w as pv, lag(time_ns) over w as pt from n window w as (partition by series order by time_ns))"
+_add("tare", f"with {N}, z as (select series, arg_min(value, time_ns) filter (value is not null) as z from n group by series) select series, time_ns, round(value - z, 9) as value from n join z using (series)")(
+    lambda s, d: rounded(transforms.tare(nulls(events(s, d)), "value"), "value", to=9))
+_add("difference", f"with {_LAG} select series, time_ns, round(value - pv, 9) as value from l")(
+    lambda s, d: rounded(transforms.difference(nulls(events(s, d)), "value"), "value", to=9))
+for _period, _seconds in transforms.PERIODS.items():
+    def _derivative(s: SparkSession, d: str, p: str = _period) -> DataFrame:
+        return rounded(transforms.derivative(nulls(events(s, d)), "value", p), "value", to=6)
+
+    _add(f"derivative_{_period}", f"with {_LAG} select series, time_ns, round({_seconds} * (value - pv) / ((time_ns - pt)::double / 1e9), 6) as value from l")(_derivative)
+_add("difference_unsigned", f"with {P}, u as (select series, time_ns, floor(value)::bigint as v from p), l as (select *, v - lag(v) over (partition by series order by time_ns) as dv from u) select series, time_ns, (case when dv < 0 then dv + 4294967296 else dv end)::bigint as value from l")(
+    lambda s, d: transforms.difference(events(s, d).select("series", "time_ns", F.floor("value").cast("long").alias("value", metadata={"kind": "u32"})), "value"))
+
+_ENVELOPE = """f as (select series, min(window_ns) as f from w where n > 0 group by series),
+    e as (select series, window_ns as time_ns, case when n = 0 then null when window_ns = f then m else hi end as value from w join f using (series)
+    union all select series, window_ns + 1000000, case when n = 0 then null when window_ns = f then hi else lo end from w join f using (series)
+    union all select series, window_ns + 2000000, lo from w join f using (series) where window_ns = f)"""
+_add("minmax_envelope", f"with {N}, {_windows('n', HOUR, T0, T1)}, {_ENVELOPE} select series, time_ns, round(value, 6) as value from e")(
+    lambda s, d: rounded(transforms.envelope(windows.window_agg(nulls(events(s, d)), ["value"], T0, T1, HOUR).select("series", "window_ns", *[F.col(f"value_{k}").alias(k) for k in ("min", "max", "mean", "n")])), "value"))
+
+
+def _cut(many: str) -> str:
+    return f"""c as (select series, count(*) as c, count(value) as k from n where time_ns between {T0} and {T1} group by series),
+    big as (select median(c) as b from c)
+    select series, time_ns, round(value, 6) as value from n join c using (series) where c <= (select b from big) and k > 0 and time_ns between {T0} and {T1}
+    union all select series, time_ns, round(value, 6) from ({many}) join c using (series) where c > (select b from big) and k > 0"""
+
+
+def _middle(s: SparkSession, d: str) -> int:
+    """A point count that some series exceed and others don't."""
+    return int(scan.count_points(events(s, d, T0, T1), T0, T1).agg(F.median("npoints")).first()[0])
+
+
+_add("downsample_mean", f"with {N}, {_windows('n', HOUR, T0, T1)}, {_cut('select series, window_ns as time_ns, m as value from w')}")(
+    lambda s, d: rounded(transforms.downsample(nulls(events(s, d)), "value", T0, T1, _middle(s, d), HOUR, "Mean"), "value"))
+_add("downsample_minmax", f"with {N}, {_windows('n', HOUR, T0, T1)}, {_ENVELOPE}, {_cut('select * from e')}")(
+    lambda s, d: rounded(transforms.downsample(nulls(events(s, d)), "value", T0, T1, _middle(s, d), HOUR, "Min/Max"), "value"))
+_add("downsample_formula", f"with {N}, {_windows('n', HOUR, T0, T1, 'value * 2')} select series, window_ns as time_ns, round(m, 6) as value from w")(
+    lambda s, d: rounded(transforms.downsample(nulls(events(s, d)), None, T0, T1, 1, HOUR, "Mean", formula="value * 2"), "value"))
+_add("dashboard_alias", f"with {P} select 'type ' || series || '!' as name, time_ns, value from p where series in ('click', 'view') and time_ns between {T0} and {T0 + 12 * HOUR}")(
+    lambda s, d: dashboard(events(s, d), "click + view", "value", alias="type $series!", t0=T0, t1=T0 + 12 * HOUR, max_points=10**9))
+
+# the store
+
+
+def _client(s: SparkSession) -> Client:
+    from tempfile import mkdtemp
+
+    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="pointmill-store-")
+    c = Client(s, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    c.create_database("db")
+    c.create_measurement("db", "events", "value/f64")
+    return c
+
+
+def _stored(s: SparkSession, d: str, *batches: DataFrame) -> Client:
+    c = _client(s)
+    for b in batches or (events(s, d),):
+        c.store.append("db", "events", b)
+    return c
+
+
+@_add("append_idempotent", f"with {P} select * from p")
+def _append_idempotent(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    c = _stored(s, d, e.where(F.col("time_ns") <= T1))
+    c.store.append("db", "events", e.where(F.col("time_ns") >= T0))  # repeats T0 to T1
+    return c.store.points("db", "events")
+
+
+@_add("append_conflict", f"with {P} select 'FIELD_OVERWRITE_MISMATCH' as error, count(*) as npoints from p")
+def _append_conflict(s: SparkSession, d: str) -> DataFrame:
+    e, error = events(s, d), None
+    c = _stored(s, d, e)
+    try:
+        c.store.append("db", "events", e.withColumn("value", F.when(F.col("time_ns") > T1, F.col("value") + 1).otherwise(F.col("value"))))
+    except EngineError as x:
+        error = x.name
+    return c.store.points("db", "events").agg(F.count(F.lit(1)).alias("npoints")).select(F.lit(error).alias("error"), "npoints")
+
+
+@_add("delete_front", f"with {P} select * from p where series <> 'error' or time_ns > {T0}")
+def _delete_front(s: SparkSession, d: str) -> DataFrame:
+    c = _stored(s, d)
+    c.delete_points("db", "events", "error", T0)
+    c.delete_points("db", "events", "error", T0 - HOUR)
+    return c.store.points("db", "events")
+
+
+@_add("delete_then_append", f"with {P} select * from p where time_ns <= {T0} and (series <> 'click' or false) or time_ns > {T1}")
+def _delete_then_append(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    c = _stored(s, d, e.where(F.col("time_ns") <= T0))
+    c.delete_points("db", "events", "click", T1)
+    late = e.where((F.col("series") == "click") & (F.col("time_ns") > T0) | (F.col("time_ns") > T1))
+    c.store.append("db", "events", late)  # clicks up to T1 are dropped
+    c.store.compact("db", "events")
+    return c.store.points("db", "events")
+
+
+@_add("base_union_tail", f"with {P}, a as (select * from p where time_ns < {T0}), b as (select * from p where time_ns between {T0} and {T0 + HOUR}) select * from a union all select * from b")
+def _base_union_tail(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d, None, T0 + HOUR)
+    return _stored(s, d, e.where(F.col("time_ns") < T0), e.where(F.col("time_ns") >= T0)).store.points("db", "events")
+
+
+_add("get_schema", "select 0 as position, 'value' as name, 'f64' as type")(lambda s, d: _client(s).get_schema("db", "events"))
+_add("command_text_mean", f"with {P}, c as (select * from p where series = 'click'), {_windows('c', WIDE, T0, T1)} select window_ns, round(m, 6) as value_mean from w")(
+    lambda s, d: rounded(run_command(_stored(s, d), f"mean value from db/events/click where {T0} <= time_ns <= {T1} window_ns {WIDE}"), "value_mean"))
+_add("command_text_select", f"with {P} select * from p where series = 'view' and time_ns < {T1} order by time_ns desc limit 7")(
+    lambda s, d: run_command(_stored(s, d), f"SELECT value FROM db/events/view WHERE time_ns < {T1} LAST 7"))
