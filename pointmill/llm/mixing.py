@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import WORD_PATTERN
+from pointmill.llm.common import WORD_PATTERN, staged
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -31,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 def systematic_mix(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
-    weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", blocks: int = 64,
+    weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", blocks: int = 64, size: str | None = None,
 ) -> DataFrame:
     """docs as struct `r`, with size, source_size, target and copies (how often the mix takes the row).
 
@@ -41,6 +45,8 @@ def systematic_mix(
     is taken once per integer boundary that its stretch crosses. The prefix sum has two levels, counts
     of (source, class, block) and row numbers within one, so no task holds a whole source.
 
+    size: a column that holds the sizes, so that they aren't counted from texts.
+
     Null texts and texts without words have size 0 and can be taken; a null source is a source; null
     keys share a block; equal rows are taken apart. An empty table gives no rows. Extra columns of any
     name stay inside `r`.
@@ -49,13 +55,14 @@ def systematic_mix(
     hexa = lambda c, n: F.conv(F.substring(F.md5(c), 1, n), 16, 10).cast("long")
     r = F.col("r")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    d = d.select("r", r[source].alias("source"), r[key].alias("key"), F.coalesce(F.regexp_count(r[text], F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    d = d.select("r", r[source].alias("source"), r[key].alias("key"), (r[size].cast("long") if size else word_count(r[text])).alias("size"))
     d = d.withColumns({
         "g_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
         "g_class": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int"),
         "g_block": F.coalesce(hexa(F.col("key").cast("string"), 4) % blocks, F.lit(0)).cast("int"),
     })
     groups = d.groupBy("source", *group).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    groups = staged(groups)  # three readers; counting words again costs more than this small table
     targets = source_targets(groups, weights, cap).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("t_src"), "source_size", "target")
     # prefix sums of counts: over the classes of a source, then over the blocks of a class
     classes = groups.groupBy("g_src", "g_class").agg(F.sum("n").alias("n"))

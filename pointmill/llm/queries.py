@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.llm import covertree, jaccard, licenses, lsh, mixing, packing, pii, quality, spans, toxicity
-from pointmill.llm.common import crc_of_id, table
+from pointmill.llm.common import crc_of_id, staged, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # sizes come from whole texts; the texts themselves need not travel
-    m = mixing.systematic_mix(docs)
+    # sizes come from whole texts, counted once; the texts themselves need not travel
+    sized = staged(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n")))
+    m = mixing.systematic_mix(sized, size="n")
     return m.select(F.col("r.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
