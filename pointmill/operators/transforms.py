@@ -18,7 +18,7 @@ def _minus(a: Column, b: Column, kind: str) -> Column:
     """a - b; of unsigned kinds modulo their size."""
     if kind in UNSIGNED:
         wide = "int" if kind == "bool" else "decimal(38,0)"
-        d = F.pmod(a.cast(wide) - b.cast(wide), F.lit(UNSIGNED[kind]).cast("decimal(38,0)" if kind != "bool" else "int"))
+        d = F.pmod(a.cast(wide) - b.cast(wide), F.lit(str(UNSIGNED[kind])).cast("decimal(38,0)" if kind != "bool" else "int"))
         return d.cast("int" if kind == "bool" else "long" if kind == "u32" else "decimal(20,0)")
     return a - b
 

@@ -14,6 +14,11 @@ from pointmill.functions.timerange import TimeRange
 MOST_WINDOWS = 50_000_000
 
 
+def _text(x: float) -> str:
+    """Spark's spelling of a bound, to be cast; 64-bit unsigned ones don't fit a literal."""
+    return {float("inf"): "Infinity", float("-inf"): "-Infinity"}.get(x, str(x))
+
+
 def _floor(t: Column, w: int) -> Column:
     return t - F.pmod(t, F.lit(w).cast("long"))
 
@@ -57,7 +62,7 @@ def window_agg(df: DataFrame, fields=("*",), t0=None, t1=None, window_ns: int =
         low, high = F.col(f"`{n}_min`"), F.col(f"`{n}_max`")
         if sentinels:
             t = "int" if kind == "bool" else SPARK_TYPES[kind]
-            low, high = F.coalesce(low, F.lit(LARGEST[kind]).cast(t)), F.coalesce(high, F.lit(SMALLEST[kind]).cast(t))
+            low, high = F.coalesce(low, F.lit(_text(LARGEST[kind])).cast(t)), F.coalesce(high, F.lit(_text(SMALLEST[kind])).cast(t))
         count, total = F.col(f"`{n}_n`"), F.col(f"`{n}_sum`")
         out += [total, low.alias(f"{n}_min"), high.alias(f"{n}_max"), count, F.when(count > 0, total / F.when(count > 0, count)).alias(f"{n}_mean")]
     d = _dense(df.select("series", "time_ns", *[F.col(f"`{n}`") for n in names]), TimeRange.between(t0, t1), window_ns, aggregates, zeros)

@@ -212,7 +212,7 @@ class Store:
         wide = F.lit(False)
         for f, k in schema.fields:
             if k in RANGES:
-                wide = wide | F.coalesce((F.col(f"`{f}`") < 0) | (F.col(f"`{f}`") > F.lit(RANGES[k][1]).cast("decimal(20,0)")), F.lit(False))
+                wide = wide | F.coalesce((F.col(f"`{f}`") < 0) | (F.col(f"`{f}`") > F.lit(str(RANGES[k][1])).cast("decimal(20,0)")), F.lit(False))
         seen = batch.agg(F.count(F.lit(1)), F.max(bad.cast("int")), F.max(wide.cast("int"))).first()
         if not seen[0]:
             return 0
