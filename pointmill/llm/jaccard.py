@@ -296,7 +296,7 @@ def _prefix(n: str, percent: int):
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose key is the smallest of their similarity class; rows with a null key stay."""
     d = similarity_classes(docs, key, text, **options)
-    gone = d.groupBy("doc_id").agg(F.min(F.col("doc_id") - F.col("component_id")).alias("x")).where("x > 0").select(F.col("doc_id").alias("gone_id"))
+    gone = d.groupBy("doc_id").agg(F.min(F.col("doc_id") - F.col("component_id")).alias("x")).where("x > 0").select(F.col("doc_id").alias("__pointmill_gone"))
     gone = staged(gone)
     few = gone.limit(500_001).count() <= 500_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("gone_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("__pointmill_gone"), "left_anti")

@@ -98,7 +98,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3,
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, modulus: int = 4, held_out: int = 2) -> Model:
     """From at most per_class labelled texts of each class (a documented bound of what reaches the driver)."""
     rows = training_rows(docs, labels, "quality", modulus, held_out, per_class)
-    x = np.array([features(t) for t, _ in rows]).reshape(len(rows), -1)
+    x = np.array([features(t) for t, _ in rows]) if rows else np.zeros((0, len(features(""))))
     return fit(x, np.array([y for _, y in rows], dtype=float))
 
 

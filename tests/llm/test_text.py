@@ -1,0 +1,333 @@
+"""Text operators on small fixtures, against brute force; nulls, empty and long texts, repeats, clashing names."""
+
+import collections
+import hashlib
+import importlib.util
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pointmill.llm import jaccard, licenses, mixing, packing, pii, quality, spans, toxicity
+from pointmill.llm.common import connected_components
+
+DOCS = "doc_id long, text string, source string"
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def corpus(words):
+    rng, base = random.Random(3), [words(120) for _ in range(12)]
+    rows = []
+    for b in base:
+        rows.append(list(b))
+        for edits in (0, 1, 2, 4, 9):
+            c = list(b)
+            for _ in range(edits):
+                c[rng.randrange(len(c))] = words(1)[0]
+            rows.append(c)
+    line = words(60)  # a passage that many share
+    rows += [words(30) + line + words(40) for _ in range(25)]
+    rows += [words(n) for n in (1, 2, 4, 5, 6)] + [["same"] * 300, ["same"] * 90, words(6000)]
+    rows = [(i, " ".join(r), f"s{i % 4}") for i, r in enumerate(rows)]
+    n = len(rows)
+    return rows + [(n, None, None), (n + 1, "", "s0"), (n + 2, " \t\n ", "s0"), (n + 3, rows[0][1], "s1"), (n + 4, rows[0][1].upper(), "s1"), (n + 5, "é \x1c\x85 a b", "s1")]
+
+
+def brute_jaccard(rows):
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: grams(t) for i, t, _ in rows}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_jaccard_matches_brute_force(spark, corpus):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(frame(spark, corpus), group_rows=4).collect()}
+    assert got == brute_jaccard(corpus)
+
+
+def test_jaccard_edges(spark, corpus):
+    assert jaccard.similarity_classes(frame(spark, [])).count() == 0
+    odd = corpus[:3] + [corpus[0], (None, corpus[0][1], None), (None, None, None)]
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.similarity_classes(frame(spark, odd)).collect())
+    assert got[(0, 0)] == 2 and got[(None, 0)] == 1 and got[(None, None)] == 1
+    clash = frame(spark, corpus[:8]).withColumns({c: F.lit(1) for c in ("label", "cls", "n", "gram", "__gone", "id", "component_id")})
+    kept = jaccard.keep_one(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute_jaccard(corpus[:8]).items() if i == c}
+
+
+def test_prefix_tree_finds_all_links():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 10**6, 60, dtype=np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.r_[rng.choice(b, len(b) - d, replace=False), rng.integers(0, 10**6, d, dtype=np.uint64)]) for b in base for d in (0, 1, 3, 6, 8, 12) for _ in range(3)]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)}
+    found = set()
+    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    local = [np.sort(x) for x in np.split(flat, np.cumsum([len(s) for s in sets])[:-1])]
+    tree = jaccard.PrefixTree([x.astype(">u4") for x in local])
+    tree.sets = [local[i] for i in tree.order]
+    for i, s in enumerate(local):
+        member = np.zeros(len(universe), bool)
+        member[s] = True
+        found |= {tuple(sorted((i, tree.order[at]))) for at, _ in tree.search(s, member, lambda at, i=i: tree.order[at] == i, 80)}
+    assert found == want
+
+
+def brute_spans(rows, span=50):
+    words = {i: (t or "").encode().split() for i, t, _ in rows}
+    first = {}
+    for i in sorted(words):
+        for at in range(len(words[i]) - span + 1):
+            first.setdefault(tuple(words[i][at : at + span]), i)
+    out = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for at in range(len(w) - span + 1):
+            if first[tuple(w[at : at + span])] < i:
+                gone[at : at + span] = [True] * span
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        out[i] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_spans_match_brute_force(spark, corpus):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in spans.remove_repeats(frame(spark, corpus)).collect()}
+    want = brute_spans(corpus)
+    assert got == want and sum(n for _, n, _ in want.values()) > 3000
+
+
+def test_spans_edges(spark, corpus):
+    assert spans.remove_repeats(frame(spark, [])).count() == 0
+    odd = frame(spark, [corpus[0], corpus[0], (None, corpus[0][1], None), (7, corpus[0][1], None)]).withColumn("runs", F.lit(1))
+    got = sorted((str(r.doc_id), r.n_removed) for r in spans.remove_repeats(odd).collect())
+    assert got == [("0", 0), ("0", 0), ("7", 120), ("None", 0)]
+
+
+def test_components(spark):
+    e = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 120), (5, 5)]
+    got = {r.id: r.label for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90, 120: 90}
+
+
+def water_fill(sizes, cap=3.0):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight = {s: float(i % 3 + 1) for i, s in enumerate(names)}
+    total, open_, target = float(sum(sizes.values())), set(names), {}
+    while open_:
+        share = total / sum(weight[s] for s in open_)
+        full = {s for s in open_ if share * weight[s] > cap * sizes[s]}
+        if not full:
+            return target | {s: share * weight[s] for s in open_}
+        for s in full:
+            target[s] = cap * sizes[s]
+            total -= target[s]
+        open_ -= full
+    return target
+
+
+def test_mixing(spark, words):
+    rng = random.Random(1)
+    rows = [(i, " ".join(words(rng.randint(1, 60))), rng.choice(["a", "a", "a", "b", None, "é", "Z"])) for i in range(1500)] + [(2000, "one", "tiny"), (2001, None, "void"), (2002, "", "a")]
+    d = frame(spark, rows).withColumns({c: F.lit(0) for c in ("size", "target", "copies", "key", "n", "source_size")})
+    got = mixing.systematic_mix(d).cache()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    want = water_fill(sizes)
+    taken = collections.Counter()
+    for r in got.collect():
+        assert r.source_size == sizes[r.r.source] and r.target == pytest.approx(want[r.r.source])
+        assert 0 <= r.copies <= 3
+        taken[r.r.source] += r.copies * r["size"]
+    for s in ("a", "b", None, "é", "Z"):
+        assert taken[s] == pytest.approx(want[s], rel=0.08)
+    assert taken["tiny"] == 3 and taken["void"] == 0
+    again = {r.r.doc_id: r.copies for r in mixing.systematic_mix(d.repartition(7)).collect()}
+    assert again == {r.r.doc_id: r.copies for r in got.collect()}
+    mixed = mixing.mix(d)
+    assert mixed.columns == d.columns and mixed.count() == sum(again.values())
+    assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_packing_round_trip(spark, words):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    texts = [" ".join(words(rng.randint(0, 90))) for _ in range(300)] + [" ".join(words(1500)), "a <|endoftext|> b", "", None, "é\n\n  x"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, "null id", "s")]
+    got = packing.pack_documents(frame(spark, rows), capacity=256, island_rows=100).collect()
+    ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t, _ in rows}
+    cover = collections.Counter()
+    for r in got:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length <= 256 and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        assert r.piece == 0 or r.length == 256
+        cover[r.doc_id] += r.length
+    assert cover == {i: len(x) * (2 if i == 0 else 1) for i, x in ids.items()}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for held in by.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 256
+    loose = [r.length for r in got if r.length < 256]
+    one_task = len(got) - len(loose) + len(packing.best_fit([], list(range(len(loose))), loose, 256))
+    assert len(by) <= one_task + 4  # no more than one badly filled sequence an island
+    assert packing.pack_documents(frame(spark, [])).count() == 0
+
+
+def test_genetic_operators_keep_every_item():
+    rng = random.Random(9)
+    size = [rng.randint(200, 700) for _ in range(120)]
+    a, b = packing.best_fit([], list(range(120)), size, 1000), packing.best_fit([], list(range(0, 120, 2)), size, 1000)
+    b = packing.best_fit(b, list(range(1, 120, 2)), size, 1000)
+    for p in (packing.cross(a, b, size, 1000, rng), packing.mutate(a, size, 1000, rng), packing.evolve(size, 1000, 3)):
+        assert sorted(i for _, held in p for i in held) == list(range(120))
+        assert all(fill == sum(size[i] for i in held) <= 1000 for fill, held in p)
+    assert len(packing.evolve(size, 1000, 3)) <= len(a)
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mr. John Smith met Frau Müller; Mrs. Ann Smith wrote j.doe@x-y.co.uk at 10.0.0.1.", "a"),
+        (2, "10.0.0.1, card 4111 1111 1111 1111 or 4111111111111112, +1 (017) 555-7713, 123-45-6789", "a"),
+        (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" г-жа Иванова', "b"),
+        (4, "plain 2024 text, 1.5 and 12", "b"), (5, None, None), (6, "", "a"), (2, "10.0.0.1, card 4111 1111 1111 1111 or 4111111111111112, +1 (017) 555-7713, 123-45-6789", "a"),
+    ]
+    d = frame(spark, rows).withColumns({c: F.lit(1) for c in ("found", "mark", "new", "new_text", "entity")})
+    got = collections.defaultdict(set)
+    for r in pii.replace_pii(d).collect():
+        got[r.r.doc_id].add((r.new_text, r.n_replaced))
+    one, two, three = (next(iter(got[i])) for i in (1, 2, 3))
+    assert all(len(v) == 1 for v in got.values()) and [n for _, n in (one, two, three)] == [5, 5, 2]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+); Mrs\. (\w+) (\w+) wrote (\S+)@(\S+)\.uk at (\S+)\.", one[0])
+    assert m and m[2] == m[5] and m[2] != "Smith" and m[4][-1] in "ae" and len(m[6]) == 5
+    ip = re.fullmatch(r"([\d.]+), card (\d{4} \d{4} \d{4} \d{4}) or (\d{16}), (\+1 \(\d{3}\) \d{3}-\d{4}), (\d{3}-\d\d-\d{4})", two[0])
+    assert ip and ip[1] == m[8] != "10.0.0.1"
+
+    def luhn(s):
+        digits = [int(c) for c in s if c.isdigit()][::-1]
+        return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+    assert luhn(ip[2]) and not luhn(ip[3])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" г-жа [А-Я][а-я]+', three[0]) and "Иванова" not in three[0] and "04db" not in three[0]
+    assert got[4] == {("plain 2024 text, 1.5 and 12", 0)} and got[5] == {(None, 0)} and got[6] == {("", 0)}
+    assert pii.replace_pii(frame(spark, [])).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """So many short numbers that draws collide: the collision check must separate them."""
+    many = spark.range(1500).select(F.concat(F.lit("10.0."), (F.col("id") % 250).cast("int"), F.lit("."), F.floor(F.col("id") / 250)).alias("entity"))
+    names = spark.createDataFrame([(f"Mr. {a}{b}",) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in ("a", "b", "co", "du", "el", "fa", "go", "hi", "ix", "ju") * 1], "entity string")
+    got = pii.surrogates(many.union(names), "k").collect()
+    new = [r.surrogate for r in got]
+    assert len(set(new)) == len(new) and not set(new) & {r.entity for r in got}
+
+
+def test_license_scan(spark, words):
+    notice = licenses.TEMPLATES["MIT"][1]
+    cut = notice.split()
+    near = " ".join(cut[:20] + ["really"] + cut[20:40] + cut[42:])
+    rows = [
+        (1, " ".join(words(80)) + " Released under the MIT License. " + " ".join(words(10)), "a"), (2, " ".join(words(5)) + "\n" + near + "\n" + " ".join(words(50)), "a"),
+        (3, " ".join(words(400)), "a"), (4, None, None), (5, "", "a"), (6, "Licensed under CC BY-NC 4.0.", "a"), (7, "This license of the public is free", "a"), (6, "Licensed under CC BY-NC 4.0.", "a"),
+    ]
+    got = sorted((r.doc_id, r.license, round(r.coverage, 2), r.start_word, r.stop_word) for r in licenses.scan(frame(spark, rows)).collect())
+    assert [g[:2] for g in got] == [(1, "MIT"), (2, "MIT"), (6, "CC-BY-NC-4.0"), (6, "CC-BY-NC-4.0")]
+    assert got[0][2:] == (1.0, 80, 85) and got[1][2] == pytest.approx(1 - 2 / len(licenses.tokens(notice)[0]), abs=0.01) and got[1][3] == 5
+    text = rows[0][1].encode()
+    hit = licenses.scan(frame(spark, rows[:1])).first()
+    assert text[hit.start_byte : hit.stop_byte] == b"Released under the MIT License"
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def labelled(words, n=700):
+    rng, docs, labels = random.Random(8), [], []
+    bad = ["vilest", "wretchedo", "scumbago", "rottenest"]
+    for i in range(n):
+        w = words(rng.randint(20, 150))
+        toxic = rng.random() < 0.25
+        good = rng.random() < 0.7
+        for _ in range(6 * toxic):
+            w[rng.randrange(len(w))] = rng.choice(bad)
+        if not good:
+            w = [x.upper() + "!!" for x in w]
+        docs.append((i, " ".join(w), "s"))
+        labels.append((i, int(good), int(toxic)))
+    return docs, labels
+
+
+def test_classifiers_on_held_out_rows(spark, words):
+    docs, labels = labelled(words)
+    d, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for module, column, modulus, out, least in ((toxicity, "toxic", 5, 0, 0.9), (quality, "quality", 4, 2, 0.95)):
+        s = module.score(d, module.train(d, lab)).join(lab, "doc_id").collect()
+        held = [r for r in s if zlib.crc32(str(r.doc_id).encode()) % modulus == out]
+        assert len(held) > 100 and sum(r.predicted == r[column] for r in held) / len(held) > least
+        assert all(0 <= r.score <= 1 for r in s)
+
+
+def test_classifier_edges(spark, words):
+    docs, labels = labelled(words, 60)
+    d, lab = frame(spark, docs), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    none = lab.where("false")
+    odd = frame(spark, [(1, None, "s"), (2, "", "s"), (3, " ".join(words(20000)), "s"), (None, "x", None)]).withColumns({c: F.lit("x") for c in ("score", "predicted", "k", "d", "t", "y")})
+    for module in (toxicity, quality):
+        for lb in (lab, none, lab.where("toxic = 0 and quality = 1")):
+            m = module.train(d, lb)
+            got = module.score(odd, m)
+            assert got.count() == 4 and set(got.columns) == set(odd.columns) and all(0 <= r.score <= 1 for r in got.select("score").collect())
+            assert module.score(odd.where("false"), m).count() == 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_pipeline_stages(spark, words, tmp_path):
+    import corpus_pipeline as cp
+
+    docs, labels = labelled(words, 300)
+    docs += [(1000, docs[0][1], "s"), (1001, "mail me at a.b@c.org now please thanks", "t"), (1002, None, None), (1003, "", "s")]
+    d = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars int").withColumn("label", F.lit(1))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    tox = {i for i, _, y in labels if y}
+    for name, stage in cp.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in d.collect()}
+        d = cp.staged(stage(spark, d, str(tmp_path)))
+        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "label"]
+        after = {r.doc_id: r.text for r in d.collect()}
+        gone = before.keys() - after.keys()
+        if name == "toxicity":
+            assert len(gone & tox) > 0.85 * len(tox) and len(gone - tox) < 0.05 * len(before)
+        if name == "near_duplicates":
+            brute = brute_jaccard([(i, t, None) for i, t in before.items()])
+            assert after.keys() == {i for i, (_, c) in brute.items() if i == c}
+        if name == "pii":
+            assert not gone and [i for i in after if after[i] != before[i]] == ([1001] if 1001 in before else [])
+    packed = cp.STAGES[-1][1](spark, d, str(tmp_path))
+    assert packed.agg(F.sum("length")).first()[0] >= d.count()
+    assert cp.run(spark, str(tmp_path)).count() == packed.count()
