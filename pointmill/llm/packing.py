@@ -159,7 +159,7 @@ def _island(capacity: int, generations: int):
     return run
 
 
-def pack(parts: DataFrame, capacity: int = 2048, island_rows: int = 2000, rounds: int = 2, keep: float = 0.995, generations: int = 12) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, island_rows: int = 4000, rounds: int = 2, keep: float = 1.0, generations: int = 12) -> DataFrame:
     """parts with sequence_id and offset: gapless, no sequence over capacity.
 
     Full pieces are sequences of their own. The others are dealt by hash to islands of about island_rows
