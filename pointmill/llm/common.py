@@ -93,7 +93,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets when it has grown large."""
 
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
+    def __init__(self, seed: int = 0, most: int = 250_000):
         super().__init__()
         self.seed, self.most = seed, most
 
