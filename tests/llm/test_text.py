@@ -240,6 +240,13 @@ def test_surrogates(spark):
     assert pii.replace_pii(frame(spark, [])).count() == 0
 
 
+def test_surrogates_in_very_long_texts(spark):
+    rows = [(1, "x@" + "a." * 100_000 + "com", "a"), (2, "bob@a.b.example.com", "a"), (3, "token=" + "a1" * 20_000, "a"), (4, "1.2 " * 50_000 + "10.0.0.1", "b")]
+    got = {r.r.doc_id: r for r in pii.replace_pii(frame(spark, rows)).collect()}
+    assert {i: len(got[i].new_text) for i in (1, 2, 3)} == {i: len(t) for i, t, _ in rows[:3]}
+    assert got[2].new_text.endswith(".com") and got[2].new_text != rows[1][1] and got[4].n_replaced == 1
+
+
 def test_surrogates_stay_distinct(spark):
     """So many short numbers that draws collide: the collision check must separate them."""
     many = spark.range(1500).select(F.concat(F.lit("10.0."), (F.col("id") % 250).cast("int"), F.lit("."), F.floor(F.col("id") / 250)).alias("entity"))
