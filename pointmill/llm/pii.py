@@ -23,7 +23,7 @@ PATTERNS = {
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any match contains; most texts have none of it and skip the long pattern.
-TRIGGER = rf"@|\d{{2}}|\d\.\d|[0-9A-Fa-f]{{32}}|(?:token|secret|password|api_key) ?[=:]|{_TITLE}\.? \p{{Lu}}"
+TRIGGER = rf"@|\d{{2}}|\d\.\d|AKIA[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{20}}|sk-[0-9A-Za-z]{{20}}|[0-9A-Fa-f]{{32}}|(?:token|secret|password|api_key) ?[=:]|{_TITLE}\.? \p{{Lu}}"
 
 #: Titles of women (others but the neutral ones are of men), and syllables names are made of.
 _WOMEN = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "Госпожа")
