@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import staged
+from pointmill.llm.common import discard, staged
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|г-жа|г-н|Госпожа|Господин)"
@@ -33,6 +33,8 @@ _LATIN_ENDS = {"f": ("a", "ia", "ina", "elle"), "m": ("o", "us", "ert", "ik"), "
 _CYRILLIC_STARTS = ("Ал", "Бо", "Ва", "Га", "Да", "Ев", "Зо", "Ил", "Ки", "Ла", "Ма", "Ни", "Ол", "Па", "Ро", "Са")
 _CYRILLIC_MIDDLES = ("бан", "вор", "дел", "гар", "лин", "мар", "нес", "рал", "сер", "тин", "ван", "бел", "дри", "лор", "мон", "зан")
 _CYRILLIC_ENDS = {"f": ("а", "ия", "ина", "ела"), "m": ("ий", "ан", "ор", "ик"), "s": ("ов", "ин", "ев", "ский")}
+#: Draws in an entity's own layout. Each later one has a digit or syllable more to draw, so that there is room for any number.
+NARROW = 4
 
 
 def _strings(values) -> Column:
@@ -92,26 +94,33 @@ def surrogate(kind: Column, entity: Column, attempt: Column, secret: str) -> Col
     country code and layout; addresses stay valid; card numbers keep layout, first digit and whether
     their Luhn sum holds; secrets and accounts keep alphabet and known prefix; names keep their title,
     hence gender, and script, and equal surnames stay equal.
+
+    Some layouts have few surrogates (one letter before an @, four free digits, marks only). From draw
+    NARROW on, each draw is longer by one more digit, or syllable of a name; an address becomes an IPv6 one.
     """
     h = _keyed(secret, "any", entity, attempt)
+    extra, wide = attempt - F.lit(NARROW - 1), attempt >= NARROW
+    digits = F.when(wide, _same_shape(F.repeat(F.lit("0"), extra), _keyed(secret, "wider", entity, attempt))).otherwise(F.lit(""))
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(_same_shape(local, h), F.lit("@"), _same_shape(host, _keyed(secret, "host", domain, F.lit(0))), F.lit("."), top)
+    email = F.concat(_same_shape(local, h), digits, F.lit("@"), _same_shape(host, _keyed(secret, "host", domain, F.lit(0))), F.lit("."), top)
+    ipv6 = F.regexp_replace(F.concat(F.lit("fd"), F.substring(h, 1, 30)), "(.{4})(?=.)", "$1:")
     ip = F.array_join(F.transform(F.split(entity, r"\."), lambda _, i: (_pick(h, i * 5, 254) + 1).cast("string")), ".")
+    ip = F.when(wide, ipv6).otherwise(ip)
     country = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
-    phone = F.concat(country, _same_shape(F.substring(entity, F.length(country) + 1, F.length(entity)), h))
+    phone = F.concat(country, _same_shape(F.substring(entity, F.length(country) + 1, F.length(entity)), h), digits)
     drawn = F.concat(F.substring(entity, 1, 1), _same_shape(F.substring(entity, F.lit(2), F.length(entity) - 1), h))
     held = _luhn_sum(F.regexp_replace(entity, r"\D", "")) % 10 == 0
-    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+    body = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), digits)
     due = (10 - _luhn_sum(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0"))) % 10) % 10
     last = F.when(held, due).otherwise((due + 1 + _pick(h, 120, 9)) % 10)
     card = F.concat(body, last.cast("string"))
     known = F.regexp_extract(entity, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
     hexa = entity.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
     rest = F.substring(entity, F.length(known) + 1, F.length(entity))
-    token = F.concat(known, F.when(hexa, _same_shape(rest, h, True)).otherwise(_same_shape(rest, h)))
-    iban = F.concat(F.substring(entity, 1, 2), _same_shape(F.substring(entity, F.lit(3), F.length(entity) - 2), h))
+    token = F.concat(known, F.when(hexa, _same_shape(rest, h, True)).otherwise(_same_shape(rest, h)), digits)
+    iban = F.concat(F.substring(entity, 1, 2), _same_shape(F.substring(entity, F.lit(3), F.length(entity) - 2), h), digits)
     title = F.regexp_extract(entity, rf"^{_TITLE}\.? ", 0)
     words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
     woman = F.regexp_replace(title, r"[. ]", "").isin(*_WOMEN)
@@ -122,29 +131,36 @@ def surrogate(kind: Column, entity: Column, attempt: Column, secret: str) -> Col
         def made(starts, middles, ends) -> Column:
             end = F.when(surname, F.element_at(_strings(ends["s"]), _pick(k, 16, 4) + 1)).when(woman, F.element_at(_strings(ends["f"]), _pick(k, 16, 4) + 1)).otherwise(F.element_at(_strings(ends["m"]), _pick(k, 16, 4) + 1))
             mid = [F.element_at(_strings(middles), _pick(k, at, len(middles)) + 1) for at in (4, 8)]
+            more = F.transform(F.sequence(F.lit(1), extra), lambda i: F.element_at(_strings(middles), _pick(k, F.lit(20) + i * 4 % 104, len(middles)) + 1))
+            mid.append(F.when(wide, F.array_join(more, "")).otherwise(F.lit("")))
             return F.concat(F.element_at(_strings(starts), _pick(k, 0, len(starts)) + 1), *mid, end)
 
-        greek = F.concat(_same_shape(w, k))
+        greek = _same_shape(F.concat(w, F.repeat(F.lower(F.substring(w, 1, 1)), extra)), k)
         return F.when(w.rlike(r"\p{IsCyrillic}"), made(_CYRILLIC_STARTS, _CYRILLIC_MIDDLES, _CYRILLIC_ENDS)).when(w.rlike(r"^[\p{IsLatin}'-]+$"), made(_LATIN_STARTS, _LATIN_MIDDLES, _LATIN_ENDS)).otherwise(greek)
 
     name = F.concat(title, F.array_join(F.transform(words, lambda w, i: name_word(w, i == F.size(words) - 1)), " "))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
-        .when(kind == "secret", token).when(kind == "iban", iban).when(kind == "ssn", _same_shape(entity, h)).otherwise(name)
+        .when(kind == "secret", token).when(kind == "iban", iban).when(kind == "ssn", F.concat(_same_shape(entity, h), digits)).otherwise(name)
     )
 
 
-def surrogates(entities: DataFrame, secret: str, rounds: int = 16) -> DataFrame:
+def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """(entity, kind, surrogate) for distinct entities: no two share a surrogate, none is itself an entity.
 
     All draw; of those that collide with each other the smallest keeps its draw, and the others, like
-    those that hit an entity of the corpus, draw again, until no collision is left.
+    those that hit an entity of the corpus, draw again, until no collision is left. As later draws are
+    from ever larger spaces, that ends at any number of entities.
     """
     one = staged(entities.select("entity").distinct())
     now = one.select("entity", F.lit(0).alias("attempt"))
-    for _ in range(rounds):
+    last = None
+    while True:
         drawn = now.withColumn("kind", entity_type(F.col("entity")))
         drawn = staged(drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), secret)))
+        if last is not None:
+            discard(last)
+        last = drawn
         shared = drawn.groupBy("surrogate").agg(F.min("entity").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = drawn.join(shared, "surrogate").where(F.col("entity") != F.col("holder")).select("entity")
         known = drawn.join(one.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
@@ -152,7 +168,6 @@ def surrogates(entities: DataFrame, secret: str, rounds: int = 16) -> DataFrame:
         if again.isEmpty():
             return drawn.select("entity", "kind", "surrogate")
         now = drawn.join(again, "entity", "left").select("entity", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def replace_pii(docs: DataFrame, text: str = "text", secret: str = "pointmill") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import importlib.util
+import ipaddress
 import random
 import re
 import zlib
@@ -270,6 +271,22 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(new)) == len(new) and not set(new) & {r.entity for r in got}
 
 
+def test_surrogates_where_the_layout_has_too_few(spark):
+    """More entities than surrogates of their layout: 20480 for a titled Latin name, 10000 for four digits, 26 for a letter, none for marks."""
+    names = spark.range(21_000).select(F.concat(F.lit("Mr. X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("entity"))
+    phones = spark.range(10_000).select(F.format_string("+7 %02d %02d", F.floor(F.col("id") / 100), F.col("id") % 100))
+    few = spark.createDataFrame([(f"{c}@{d}.org",) for c in "abcdefghijklmnopqrstuvwxyz" for d in "qz"] + [("------------",), ("____________",)], "entity string")
+    got = pii.surrogates(names.union(phones).union(few), "k").collect()
+    new, entities = {r.surrogate for r in got}, {r.entity for r in got}
+    assert len(got) == len(entities) == len(new) == 31_054 and not new & entities
+    for r in got:
+        assert r.surrogate.startswith({"name": "Mr. ", "phone": "+7 ", "email": "", "secret": r.entity}[r.kind])
+        assert r.kind != "email" or re.fullmatch(r"[a-z]\d*@[a-z]\.org", r.surrogate)
+    address = spark.createDataFrame([("10.0.0.1", "ip"), ("4111 1111 1111 1111", "card"), ("Herr Ωμέγα", "name")], "entity string, kind string")
+    wide = {r.kind: r.s for r in address.select("kind", pii.surrogate(F.col("kind"), F.col("entity"), F.lit(pii.NARROW), "k").alias("s")).collect()}
+    assert ipaddress.ip_address(wide["ip"]).version == 6 and len(wide["card"]) == 20 and re.fullmatch(r"Herr [Α-Ω][α-ω]{5}", wide["name"])
+
+
 def test_license_scan(spark, words):
     notice = licenses.TEMPLATES["MIT"][1]
     cut = notice.split()
