@@ -54,8 +54,9 @@ class Model:
 
     @staticmethod
     def _compressor(content: bytes):
+        reach = max(13, len(content).bit_length())  # the tables hold every position of the content
         p = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=13, chain_log=13, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+            window_log=max(15, reach + 1), hash_log=reach, chain_log=reach, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,7 +75,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fragments(toxic: list[str], ordinary: list[str], evidence: float = 50.0, odds: float = 12.0, most: int = 200) -> list[bytes]:
+def fragments(toxic: list[str], ordinary: list[str], evidence: float = 50.0, odds: float = 12.0) -> list[bytes]:
     """Words and beginnings of words (a space, then four bytes or more) that stand out in toxic training
     texts, most frequent last. Near copies among the texts count once.
 
@@ -110,7 +111,7 @@ def fragments(toxic: list[str], ordinary: list[str], evidence: float = 50.0, odd
     for w in sorted(kept, key=len, reverse=True):
         if len(w) > 5 and w[:-1] in kept and kept[w] >= 0.9 * kept[w[:-1]]:
             kept[w[:-1]] = 0
-    return [w for x, _, w in sorted((x, len(w), w) for w, x in kept.items() if x)][-most:]
+    return [w for x, _, w in sorted((x, len(w), w) for w, x in kept.items() if x)]
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -125,9 +126,9 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 def fit(rows: list[tuple[str, int]], size: int = 2048) -> Model:
     """Model from (text, label) rows.
 
-    The ordinary dictionary is trained on windows of ordinary texts; the toxic one on windows around what
-    stands out in toxic texts, and ends in the ordinary content, so that ordinary words cost the same
-    under both. One class or no rows: a model that scores everything with the base rate.
+    The ordinary dictionary is trained on windows of ordinary texts. The toxic one is a keyword list, all
+    that stands out in toxic texts, and ends in the ordinary content, so that ordinary words cost the same
+    under both; it holds no windows of toxic texts. One class or no rows: a model that scores everything with the base rate.
     """
     toxic, ordinary = [t or "" for t, y in rows if y], [t or "" for t, y in rows if not y]
     if not toxic or not ordinary:

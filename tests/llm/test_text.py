@@ -330,6 +330,17 @@ def test_classifiers_on_held_out_rows(spark, words):
         assert all(0 <= r.score <= 1 for r in s)
 
 
+def test_toxic_dictionary_holds_all_that_stands_out(words):
+    rng, n = random.Random(5), 250
+    marks = [f"{a}{b}{c}qqq" for a in "bcdfghj" for b in "klmnpr" for c in "stvwxz"][:n]
+    toxic = [" ".join(rng.sample(marks, n)) for _ in range(60)]
+    ordinary = [" ".join(words(100)) for _ in range(60)]
+    found = toxicity.fragments(toxic, ordinary)
+    assert {f.strip().decode() for f in found} >= set(marks)
+    model = toxicity.fit([(t, 1) for t in toxic] + [(t, 0) for t in ordinary])
+    assert all(f" {m} ".encode() in model.toxic for m in marks)
+
+
 def test_classifier_edges(spark, words):
     docs, labels = labelled(words, 60)
     d, lab = frame(spark, docs), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
