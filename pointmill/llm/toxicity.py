@@ -135,7 +135,7 @@ def fit(rows: list[tuple[str, int]], size: int = 2048) -> Model:
         p = (len(toxic) + 1) / (len(rows) + 2) if rows else 0.1
         return Model(b" " * 8, b" " * 8, bias=math.log(p / (1 - p)))
     around = fragments(toxic, ordinary)
-    plain = train_dictionary([w for t in ordinary for w in windows(t)[:40]][:40_000], size)
+    plain = train_dictionary([w for t in ordinary for w in windows(t)], size)
     extra = train_dictionary([b"".join(around[i : i + 8]) for i in range(len(around))] * 4, size) if around else b""
     model = Model(extra + b"".join(around) + plain, plain)
     x = np.array([model.features(t) for t, _ in rows])

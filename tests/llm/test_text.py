@@ -341,6 +341,14 @@ def test_toxic_dictionary_holds_all_that_stands_out(words):
     assert all(f" {m} ".encode() in model.toxic for m in marks)
 
 
+def test_ordinary_dictionary_is_trained_on_whole_texts(words, monkeypatch):
+    seen, train = [], toxicity.train_dictionary
+    monkeypatch.setattr(toxicity, "train_dictionary", lambda samples, size: seen.append(len(samples)) or train(samples, size))
+    ordinary = [" ".join(words(246)) for _ in range(1000)]
+    toxicity.fit([(t, 0) for t in ordinary] + [("vile words here", 1)] * 5)
+    assert seen[0] == sum(len(toxicity.windows(t)) for t in ordinary) == 41_000
+
+
 def test_classifier_edges(spark, words):
     docs, labels = labelled(words, 60)
     d, lab = frame(spark, docs), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
