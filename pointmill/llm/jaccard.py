@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import WordHashes, connected_components, map_arrow, mix, shingles, signed, staged
+from pointmill.llm.common import WordHashes, bounded, connected_components, map_arrow, mix, shingles, signed, staged
 
 #: N-grams whose hash is below this share of all take part in the tests of steps 2 and 4.
 SAMPLED = 0.3
@@ -173,7 +173,7 @@ def _only_one(postings: DataFrame, label: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): set size, and a 128-bit hash of the set, of each document."""
+    """(doc_id, n_shingles, s1, s2, mark): set size, a 128-bit hash of the set and a 64-bit one of the text, of each document."""
     box: list[WordHashes] = []
 
     def run(batch: pa.RecordBatch):
@@ -185,9 +185,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
             n.append(len(g))
             s1.append(g.sum(dtype=np.uint64))
             s2.append(mix(g ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(np.array(s1, np.uint64)), signed(np.array(s2, np.uint64))], names=["doc_id", "n_shingles", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(np.array(s1, np.uint64)), signed(np.array(s2, np.uint64)), batch.column(2)], names=["doc_id", "n_shingles", "s1", "s2", "mark"])
 
-    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")), run, "doc_id long, n_shingles long, s1 long, s2 long, mark long")
 
 
 def _sampled(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _sampled(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def _with_grams(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(cls, n, s1, keys, grams) of the classes in ids (cls, n, s1), from one document of each."""
+    """(cls, n, s1, keys, grams) of the classes in ids (cls, least, s1), from the document `least` of each."""
     box: list[WordHashes] = []
 
     def run(batch: pa.RecordBatch):
@@ -225,8 +225,8 @@ def _with_grams(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(ks, pa.list_(pa.int64())), pa.array(gs, pa.list_(pa.int64()))], names=["cls", "n", "s1", "keys", "grams"])
 
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    few = ids.limit(500_001).count() <= 500_000  # 16 bytes each: 8 MB at most are broadcast
-    d = d.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("cls")).select("cls", "s1", "text")
+    few = ids.limit(500_001).count() <= 500_000  # 24 bytes each: 12 MB at most are broadcast
+    d = d.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("least")).select("cls", "s1", "text")
     return map_arrow(d, run, "cls long, n long, s1 long, keys array<long>, grams array<long>").dropDuplicates(["cls"])
 
 
@@ -238,13 +238,20 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     their component, alone it stays null. Rows that repeat a doc_id count as documents of their own, and
     share a component only if their sets are linked. An empty table gives no rows.
     """
+    return _components(docs, key, text, percent, k, group_rows).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, key: str, text: str, percent: int = 80, k: int = 5, group_rows: int = 192) -> DataFrame:
+    """similarity_classes with the mark of each row's text, and `low`: the smallest (doc_id, mark) of its component.
+
+    Classes have ids of their own, as two classes can have the same smallest doc_id."""
     docs = docs.select(F.col(key), F.col(text)) if key != text else docs
     per_doc = staged(classes(docs, key, text, k))
-    cls = per_doc.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n"))
-    cls = staged(cls)
+    cls = per_doc.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("low"), F.min("n_shingles").alias("n"))
+    cls = staged(cls.withColumn("cls", F.monotonically_increasing_id()))
     alone = _only_one(_sampled(docs, key, text, k), "s1")
-    live = cls.where("cls is not null").join(alone, "s1", "left").where(F.coalesce("alone", F.lit(0)) < _prefix("n", percent))
-    sets = staged(_with_grams(docs, staged(live.select("cls", "s1")), key, text, k))
+    live = cls.where("low is not null").join(alone, "s1", "left").where(F.coalesce("alone", F.lit(0)) < _prefix("n", percent))
+    sets = staged(_with_grams(docs, staged(live.select("cls", F.col("low.doc_id").alias("least"), "s1")), key, text, k))
 
     # step 3: groups around a leader, for each of the keys
     posted = sets.select("cls", F.posexplode("keys").alias("j", "key"))
@@ -284,9 +291,11 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     heads = met.select("g", "part", F.col("g").alias("cls")).distinct()
     late = staged(_links(met.union(heads).join(rest.select("cls", "label", "grams"), "cls"), percent))
     final = connected_components(links.union(late))
-    cls = cls.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("s1", "s2", F.coalesce("label", "cls").alias("component"))
+    final = final.withColumnRenamed("id", "cls")
+    lowest = final.join(cls, "cls").groupBy("label").agg(F.min("low").alias("lowest"))
+    cls = cls.join(final.join(lowest, "label"), "cls", "left").select("s1", "s2", F.coalesce("lowest", "low").alias("low"))
     out = per_doc.join(cls, ["s1", "s2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "mark", "low", F.coalesce("low.doc_id", "doc_id").alias("component_id"))
 
 
 def _prefix(n: str, percent: int):
@@ -294,9 +303,19 @@ def _prefix(n: str, percent: int):
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose key is the smallest of their similarity class; rows with a null key stay."""
-    d = similarity_classes(docs, key, text, **options)
-    gone = d.groupBy("doc_id").agg(F.min(F.col("doc_id") - F.col("component_id")).alias("x")).where("x > 0").select(F.col("doc_id").alias("__pointmill_gone"))
-    gone = staged(gone)
-    few = gone.limit(500_001).count() <= 500_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("__pointmill_gone"), "left_anti")
+    """One row of each similarity class, with its smallest key; rows with a null key or without words stay.
+
+    Where that key has several texts of the class, the text with the smallest hash stays; of equal texts any."""
+    d = staged(_components(docs, key, text, **options).where("low is not null and doc_id is not null").select("doc_id", "mark", "low"))
+    own = F.struct("doc_id", "mark") == F.col("low")
+    ids = [F.col("doc_id").alias("__pointmill_id"), F.col("mark").alias("__pointmill_mark")]
+    at = (F.col(key) == F.col("__pointmill_id")) & (F.xxhash64(text) == F.col("__pointmill_mark"))
+    gone, twice = staged(d.where(~own).select(*ids).distinct()), d.where(own).groupBy(*ids).count().where("count > 1").drop("count")
+    kept = docs.join(bounded(gone, 500_000), at, "left_anti")
+    twice = staged(twice)
+    if twice.isEmpty():
+        return kept
+    twice = bounded(twice, 500_000)
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__pointmill_row")
+    one = kept.join(twice, at, "left_semi").groupBy(F.col(key).alias("__pointmill_id"), F.xxhash64(text).alias("__pointmill_mark")).agg(row)
+    return kept.join(twice, at, "left_anti").unionByName(one.select("__pointmill_row.*"))

@@ -77,6 +77,20 @@ def test_jaccard_edges(spark, corpus):
     assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute_jaccard(corpus[:8]).items() if i == c}
 
 
+def test_jaccard_where_ids_repeat(spark, words):
+    a, b, c = words(80), words(80), words(80)
+    near = lambda w: " ".join(w[:-2] + ["zz", "yy"])
+    a, b, c, a2, b2 = *map(" ".join, (a, b, c)), near(a), near(b)
+    rows = [(5, a, "s"), (5, b, "s"), (3, a2, "s"), (9, b2, "s"), (1, c, "s"), (1, c, "t"), (1, c.upper(), "s"), (2, "", "s"), (2, "", "s"), (None, c, "s")]
+    d = frame(spark, rows)
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(d).collect() if r.doc_id)
+    assert got == [(1, 1)] * 3 + [(2, 2)] * 2 + [(3, 3), (5, 3), (5, 5), (9, 5)]
+    kept = jaccard.keep_one(d.withColumns({x: F.lit(1) for x in ("count", "mark", "low")}))
+    assert kept.columns == [*d.columns, "count", "mark", "low"]
+    got = collections.Counter((r.doc_id, r.text.lower()) for r in kept.collect())
+    assert got == {(3, a2): 1, (5, b): 1, (1, c): 1, (2, ""): 2, (None, c): 1}
+
+
 def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 10**6, 60, dtype=np.uint64)) for _ in range(4)]
