@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import WordHashes, crc_of_id, map_arrow, shingles
+from pointmill.llm.common import crc_of_id, map_arrow
 
 #: Words to a window.
-WINDOW = 6
+WINDOW = 8
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -35,7 +35,7 @@ class Model:
     toxic: bytes
     ordinary: bytes
     anchor: int = 40
-    weights: tuple[float, ...] = (0.0,) * 5
+    weights: tuple[float, ...] = (0.0,) * 6
     bias: float = 0.0
 
     def __post_init__(self):
@@ -56,7 +56,7 @@ class Model:
     def _compressor(content: bytes):
         reach = max(13, len(content).bit_length())  # the tables hold every position of the content
         p = zstandard.ZstdCompressionParameters(
-            window_log=max(15, reach + 1), hash_log=reach, chain_log=reach, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+            window_log=max(15, reach + 1), hash_log=reach, chain_log=reach, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -64,106 +64,89 @@ class Model:
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Largest gap, windows whose gap is 2, 3, more (log), windows (log)."""
+        """Largest gap, windows whose gap is 2, 3, 4, more (log), windows (log)."""
         g = self.gaps(text)
         if not len(g):
-            return (0.0,) * 5
-        return (float(min(max(g.max(), 0), 10)), *(math.log1p(float(n)) for n in ((g == 2).sum(), (g == 3).sum(), (g > 3).sum(), len(g))))
+            return (0.0,) * 6
+        return (float(min(max(g.max(), 0), 10)), *(math.log1p(float(n)) for n in ((g == 2).sum(), (g == 3).sum(), (g == 4).sum(), (g > 4).sum(), len(g))))
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fragments(toxic: list[str], ordinary: list[str], evidence: float = 50.0, odds: float = 12.0) -> list[bytes]:
-    """Words and beginnings of words (a space, then four bytes or more) that stand out in toxic training
-    texts, most frequent last. Near copies among the texts count once.
-
-    A fragment needs a likelihood ratio statistic of at least `evidence` against standing in both classes
-    alike, which chance among a million fragments does not reach. One that nearly always goes on as a
-    longer fragment is left out."""
-    hashes = WordHashes()
-
-    def counts(texts: list[str]) -> tuple[Counter, int]:
-        seen, c, n = set(), Counter(), 0
-        for t in texts:
-            words = t.lower().encode("utf-8", "replace").split()
-            if not words:
-                continue
-            s = np.unique(shingles(hashes.of(words), 5))
-            marks = {*np.partition(s, min(5, len(s) - 1))[:6].tolist(), tuple(words[:8]), tuple(words[-8:])}
-            if marks & seen:
-                continue
-            seen |= marks
-            n += 1
-            c.update({w[:k] for w in {b" " + w.strip(b".,;:!?*%&$#|\"'()") + b" " for w in words} for k in range(5, min(len(w), 14) + 1)})
-        return c, max(n, 1)
-
-    (ct, nt), (co, no) = counts(toxic), counts(ordinary)
-    share = nt / (nt + no)
-    kept: dict[bytes, int] = {}
-    for w, x in ct.items():
-        y = co[w]
-        seen = x + y
-        g = 2 * (x * math.log(x / seen / share) + (y * math.log(y / seen / (1 - share)) if y else 0))
-        if x > seen * share and g >= evidence and (x / nt) / ((y + 0.5) / no) >= odds:
-            kept[w] = x
-    for w in sorted(kept, key=len, reverse=True):
-        if len(w) > 5 and w[:-1] in kept and kept[w] >= 0.9 * kept[w[:-1]]:
-            kept[w[:-1]] = 0
-    return [w for x, _, w in sorted((x, len(w), w) for w, x in kept.items() if x)]
-
-
-def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary that zstandard trains; the samples' own end where there are too few to train on."""
+def train_dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content of a dictionary that zstandard trains on all samples, of segments of so many bytes; all the
+    samples themselves where there are too few to train on.
+
+    Samples come once each, in an order of their hashes: the trainer goes through them in stretches and
+    ends where many in a row bring nothing new, as those of one long text of repeated lines do."""
+    samples = sorted(set(samples), key=xxhash.xxh64_intdigest)
     try:
-        d = zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+        d = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
         return d[-size:]
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
-def fit(rows: list[tuple[str, int]], size: int = 2048) -> Model:
-    """Model from (text, label) rows.
+def train_dictionaries(toxic: list[str], ordinary: list[str], size: int, ordinary_size: int) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, each trained on all windows of the texts of its class.
 
-    The ordinary dictionary is trained on windows of ordinary texts. The toxic one is a keyword list, all
-    that stands out in toxic texts, and ends in the ordinary content, so that ordinary words cost the same
-    under both; it holds no windows of toxic texts. One class or no rows: a model that scores everything with the base rate.
-    """
-    toxic, ordinary = [t or "" for t, y in rows if y], [t or "" for t, y in rows if not y]
-    if not toxic or not ordinary:
-        p = (len(toxic) + 1) / (len(rows) + 2) if rows else 0.1
-        return Model(b" " * 8, b" " * 8, bias=math.log(p / (1 - p)))
-    around = fragments(toxic, ordinary)
-    plain = train_dictionary([w for t in ordinary for w in windows(t)], size)
-    extra = train_dictionary([b"".join(around[i : i + 8]) for i in range(len(around))] * 4, size) if around else b""
-    model = Model(extra + b"".join(around) + plain, plain)
-    x = np.array([model.features(t) for t, _ in rows])
-    y = np.array([bool(y) for _, y in rows], dtype=float)
+    The toxic one goes on with the ordinary content, so that what both classes say costs the same under
+    both. The ordinary one is the larger by far, as noise is what it lacks and the other has by chance."""
+    common = train_dictionary([w for t in ordinary for w in windows(t)], ordinary_size, 64) or b" " * 8
+    return train_dictionary([w for t in toxic for w in windows(t)], size, 16) + common, common
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Weights and, last, the bias of a ridge logistic fit by Newton steps."""
     a = np.c_[x, np.ones(len(x))]
-    w = np.zeros(a.shape[1])
-    for _ in range(60):  # Newton steps of a ridge logistic fit
+    w, r = np.zeros(a.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.05] * (len(w) - 1) + [1e-6])
-        step = np.linalg.solve(h, a.T @ (y - p) - np.array([0.05] * (len(w) - 1) + [1e-6]) * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(r), a.T @ (y - p) - r * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    model.weights, model.bias = tuple(w[:-1]), float(w[-1])
-    # the threshold that errs least on the training rows becomes score 0.5
-    z = a @ w
-    order = np.argsort(z)
-    errors = y.sum() + np.cumsum(np.r_[0, np.where(y[order] > 0, 1, -1)]) - y.sum()
-    zs = np.r_[z[order[0]] - 1, (z[order][1:] + z[order][:-1]) / 2, z[order[-1]] + 1]
-    best = np.flatnonzero(errors == errors.min())
-    model.bias -= float(zs[best[len(best) // 2]])
-    return model
+    return w
+
+
+def fit(rows: list[tuple[str, int]], sizes: tuple[int, ...] = (2048, 8192, 32768), ordinary_size: int = 1 << 20) -> Model:
+    """Model from (text, label) rows.
+
+    Three rows of four train the dictionaries. The fourth, which no dictionary has seen, chooses the size
+    of the toxic one and calibrates: a logistic fit over the gaps, then the threshold that errs least
+    becomes score 0.5. One class or no rows: a model that scores everything with the base rate.
+    """
+    rows = [(t or "", int(y)) for t, y in rows]
+    kinds = [[t for t, y in rows if y == k] for k in (0, 1)]
+    if min(map(len, kinds)) < 4:
+        p = (len(kinds[1]) + 1) / (len(rows) + 2) if rows else 0.1
+        return Model(b" " * 8, b" " * 8, bias=math.log(p / (1 - p)))
+    fold = [t for k in kinds for t in k[::4]]
+    y = np.array([k for k in (0, 1) for _ in kinds[k][::4]], dtype=float)
+    train = [[t for i, t in enumerate(k) if i % 4] for k in kinds]
+    best = None
+    for size in sizes:
+        model = Model(*train_dictionaries(train[1], train[0], size, ordinary_size))
+        x = np.array([model.features(t) for t in fold])
+        w = _logistic(x, y)
+        z = np.c_[x, np.ones(len(x))] @ w
+        order = np.argsort(z, kind="stable")
+        errors = y.sum() + np.cumsum(np.r_[0, np.where(y[order] > 0, 1, -1)]) - y.sum()
+        zs = np.r_[z[order[0]] - 1, (z[order][1:] + z[order][:-1]) / 2, z[order[-1]] + 1]
+        if best is None or errors.min() < best[0]:
+            at = np.flatnonzero(errors == errors.min())
+            model.weights, model.bias = tuple(w[:-1]), float(w[-1] - zs[at[len(at) // 2]])
+            best = (errors.min(), model)
+    return best[1]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """At most per_class labelled texts of each class, the first by a hash of the key, none held out.
 
-    per_class bounds what reaches the driver and what is broadcast: keys of at most 2 * per_class rows."""
+    per_class bounds what reaches the driver and what is broadcast: keys of at most 2 * per_class rows.
+    Where rows repeat a key, at most 4 * per_class texts come, those of the smallest keys."""
     fold = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (crc_of_id(key, modulus) != held_out))
     picks = [fold.where(F.col(label) == y).select(F.col(key).alias("k"), F.col(label).alias("y")).orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col(key).alias("d"), F.col(text).alias("t")).join(F.broadcast(picks[0].union(picks[1])), F.col("d") == F.col("k"))

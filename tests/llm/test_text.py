@@ -344,23 +344,38 @@ def test_classifiers_on_held_out_rows(spark, words):
         assert all(0 <= r.score <= 1 for r in s)
 
 
-def test_toxic_dictionary_holds_all_that_stands_out(words):
-    rng, n = random.Random(5), 250
-    marks = [f"{a}{b}{c}qqq" for a in "bcdfghj" for b in "klmnpr" for c in "stvwxz"][:n]
-    toxic = [" ".join(rng.sample(marks, n)) for _ in range(60)]
-    ordinary = [" ".join(words(100)) for _ in range(60)]
-    found = toxicity.fragments(toxic, ordinary)
-    assert {f.strip().decode() for f in found} >= set(marks)
-    model = toxicity.fit([(t, 1) for t in toxic] + [(t, 0) for t in ordinary])
-    assert all(f" {m} ".encode() in model.toxic for m in marks)
-
-
-def test_ordinary_dictionary_is_trained_on_whole_texts(words, monkeypatch):
-    seen, train = [], toxicity.train_dictionary
-    monkeypatch.setattr(toxicity, "train_dictionary", lambda samples, size: seen.append(len(samples)) or train(samples, size))
-    ordinary = [" ".join(words(246)) for _ in range(1000)]
-    toxicity.fit([(t, 0) for t in ordinary] + [("vile words here", 1)] * 5)
-    assert seen[0] == sum(len(toxicity.windows(t)) for t in ordinary) == 41_000
+def test_dictionaries_are_trained_on_all_windows_of_each_class(words, monkeypatch):
+    seen, train = {}, toxicity.train_dictionary
+    monkeypatch.setattr(toxicity, "train_dictionary", lambda samples, size, segment: seen.update({segment: samples}) or train(samples, size, segment))
+    ordinary = [" ".join(words(246)) for _ in range(400)]
+    toxic = [" ".join([*words(40), "vile", *words(9)]) for _ in range(40)]
+    model = toxicity.fit([(t, 0) for t in ordinary] + [(t, 1) for t in toxic])
+    own = lambda texts: [w for i, t in enumerate(texts) if i % 4 for w in toxicity.windows(t)]
+    assert seen[64] == own(ordinary) and seen[16] == own(toxic)
+    assert model.toxic.endswith(model.ordinary) and len(model.toxic) > len(model.ordinary)
+
+
+def test_dictionary_of_repeated_windows_is_not_cut_short(words):
+    mixed = [" ".join(words(8)).encode() for _ in range(3000)]
+    plain = toxicity.train_dictionary(mixed, 20_000, 64)
+    assert toxicity.train_dictionary([b"same old line of words again"] * 5000 + mixed, 20_000, 64)[-15_000:] != b"" and len(plain) == 20_000
+    assert len(toxicity.train_dictionary([b"same old line of words again"] * 5000 + mixed, 20_000, 64)) == 20_000
+
+
+def test_scores_match_a_plain_compressor(spark, words):
+    """Brute force: lengths under dictionaries given to zstandard afresh for each window."""
+    import zstandard
+
+    docs, labels = labelled(words, 120)
+    model = toxicity.train(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(frame(spark, docs + docs[:1]), model).collect()}
+    for i, t, _ in docs[:25]:
+        gap = []
+        for w in toxicity.windows(t):
+            length = [len(toxicity.Model._compressor(d)(model.ordinary[-model.anchor :] + w)) for d in (model.ordinary, model.toxic)]
+            gap.append(length[0] - length[1])
+        assert np.array_equal(model.gaps(t), gap) and got[i] == (model.score(t), int(model.score(t) >= 0.5))
+        assert all(zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).decompress(toxicity.Model._compressor(d)(t.encode()), max_output_size=10**6) == t.encode() for d in (model.toxic,))
 
 
 def test_classifier_edges(spark, words):
