@@ -75,6 +75,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that hold more than one in so many of a table's rows are hot; there are at most as many of them.
+HOT = 1000
+
+
+def join_skewed(big: DataFrame, small: DataFrame, keys: list[str], held: str, how: str = "inner") -> DataFrame:
+    """big joined (inner or left_semi) with small, a staged table with one row a key; `held`, dropped, counts big's rows of a key.
+
+    A hot key's rows stay where they are and meet a broadcast of small's hot rows, of which there are
+    at most HOT by count; all other keys are joined as Spark sees fit. big is staged, as it is read again."""
+    hot = small.where(F.col(held) > F.lit(max(big.count() // HOT, HOT)))
+    if hot.isEmpty():
+        return big.join(small.drop(held), keys, how)
+    cold = small.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot.drop(held)), keys, how).unionByName(rest.join(cold.drop(held), keys, how))
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only where a count shows that df has at most so many rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -84,14 +101,19 @@ def crc_of_id(column: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % modulus
 
 
+#: Bytes of a slice that map_arrow aims at.
+SLICE_BYTES = 4 << 20
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over slices of few rows, so that a batch of very long texts stays small in Python."""
+    """mapInArrow over slices of few rows and bytes, so that a batch of very long texts stays small in Python."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield from fn(batch.slice(at, 512))
+            step = max(1, min(512, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                yield from fn(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)
 

@@ -1,17 +1,21 @@
 """Long repeated spans by compacting a de Bruijn graph of words.
 
-Nodes are runs of words, edges the windows of `span` consecutive words. Edges that follow each other
-without a branch compact into one path. This happens in two levels:
-
-1. Within a document, consecutive windows that share their minimizer (the least hash among their k-word
-   runs) make one path. Equal windows have equal minimizers, so paths meet through a Spark join on the
-   minimizer alone, and the graph never holds a row per window.
-2. A minimizer all of whose paths are equal doesn't branch: the path stays compact, and its windows
-   repeat or don't as one. At minimizers with several different paths the graph branches: only these
-   paths, once each, are split into windows, which are joined on their own hashes.
-
-Path and window identity is a 128-bit hash. Source coordinates (smallest document, first word) travel
-with both, and spans are cut from the documents by coordinates.
+Edges are the windows (k-mers) of `span` consecutive words, nodes the runs of span - 1 words between two
+of them. Edges that follow each other without a branch compact into one path:
+
+1. Within a document, consecutive windows that share their minimizer (the least hash among their K-word
+   runs) make one local path. Equal windows have equal minimizers, so only paths whose minimizer stands
+   in two places can repeat; most of the graph ends here, without a row per window.
+2. A minimizer all of whose local paths are equal doesn't branch: the path is compact as it is.
+3. At minimizers with several different local paths the graph branches. These paths, once each, become
+   a table of edges with what comes before and after them. Edges of one document only are dropped; two
+   edges are linked where the first is all that comes before the second and the second all that follows
+   the first (in- and out-degree 1), and the links compact by pointer jumping: joins of the link table
+   with itself, each of which doubles the distance to the head of the path.
+
+Paths carry source coordinates: smallest document, and first word in it. Paths of a document on one
+diagonal (position here less position in the source) merge into spans, and the words of each span are
+compared with the words at its source coordinates before any is removed.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import BASES, INVERSES, WordHashes, discard, map_arrow, mix, powers, signed, staged
+from pointmill.llm.common import BASES, INVERSES, WordHashes, discard, join_skewed, map_arrow, mix, powers, signed, staged
 
-K = 13
+#: Words of the runs that minimizers are taken of, and of the blocks in which a source gives its words.
+K, BLOCK = 13, 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,117 +83,229 @@ def local_paths(roll: Rolling, span: int, longest: int = 256):
     return least[starts], starts, counts
 
 
-def _hashes() -> tuple[WordHashes, WordHashes]:
-    h = WordHashes()
-    return h, h
+class _Box:
+    """Hashes of words that a worker keeps from batch to batch."""
 
+    def __init__(self):
+        self.hashes = None
 
-def paths(docs: DataFrame, span: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(m, p1, p2, doc_id, start, n): every path, by its minimizer and its identity."""
-    box: list = []
+    def __call__(self) -> tuple[WordHashes, WordHashes]:
+        if self.hashes is None:
+            h = WordHashes()
+            self.hashes = h, h
+        return self.hashes
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, mark, text): rows that agree in doc and mark are equal, and all that happens to one happens to the other."""
+    t = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(t).alias("mark"), t.alias("text"))
+
+
+def paths(rows: DataFrame, span: int) -> DataFrame:
+    """(m, p1, p2, doc, mark, start, n): every local path, by its minimizer and its identity."""
+    box = _Box()
 
     def run(batch: pa.RecordBatch):
-        if not box:
-            box.append(_hashes())
-        m, p1, p2, doc, at, n = [], [], [], [], [], []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        m, p1, p2, doc, mark, at, n = [], [], [], [], [], [], []
+        for d, k, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
             words = words_of(t)
             if len(words) < span or d is None:
                 continue
-            roll = Rolling(words, box[0])
+            roll = Rolling(words, box())
             least, starts, counts = local_paths(roll, span)
             a, b = roll.of(starts, starts + counts + span - 1)
             m.append(least), p1.append(a), p2.append(b), at.append(starts), n.append(counts)
-            doc.append(np.full(len(starts), d, np.int64))
+            doc.append(np.full(len(starts), d, np.int64)), mark.append(np.full(len(starts), k, np.int64))
         if m:
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(m)), signed(np.concatenate(p1)), signed(np.concatenate(p2)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32))], names=["m", "p1", "p2", "doc_id", "start", "n"])
+            whole = [signed(np.concatenate(x)) for x in (m, p1, p2)] + [pa.array(np.concatenate(x)) for x in (doc, mark)]
+            whole += [pa.array(np.concatenate(x).astype(np.int32)) for x in (at, n)]
+            yield pa.RecordBatch.from_arrays(whole, names=["m", "p1", "p2", "doc", "mark", "start", "n"])
 
-    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "m long, p1 long, p2 long, doc_id long, start int, n int")
+    return map_arrow(rows, run, "m long, p1 long, p2 long, doc long, mark long, start int, n int")
 
 
-def _window_hashes(docs: DataFrame, wanted: DataFrame, span: int, key: str, text: str) -> DataFrame:
-    """(w1, w2, first, start, i): windows, by their identity, of the wanted paths (first, start, n)."""
-    box: list = []
-    by_doc = wanted.groupBy("first").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(by_doc, F.col("doc_id") == F.col("first"))
+def _windows(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """(p1, p2, doc, start, mark, last, w1, w2): the wanted local paths (p1, p2, doc, mark, start, n, last), with the identities of their windows in order."""
+    box = _Box()
+    by_doc = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("p1", "p2", "start", "n", "last")).alias("paths"))
 
     def run(batch: pa.RecordBatch):
-        if not box:
-            box.append(_hashes())
-        out = [[] for _ in range(5)]
-        for doc, t, want in zip(batch.column("first").to_pylist(), batch.column("text").to_pylist(), batch.column("paths").to_pylist()):
-            roll = Rolling(words_of(t), box[0])
-            want = [w for w in want if w["start"] + w["n"] + span - 1 <= roll.n]
-            if not want:
-                continue
-            start, n = np.array([w["start"] for w in want], np.int32), np.array([w["n"] for w in want])
-            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(start, n)
-            w1, w2 = roll.of(start + i, start + i + span)
-            for x, y in zip(out, (w1.view(np.int64), w2.view(np.int64), np.full(len(i), doc, np.int64), start, i.astype(np.int32))):
-                x.append(y)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["w1", "w2", "first", "start", "i"])
+        out, held = [], 0
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ["p1", "p2", "doc", "mark", "start", "last", "w1", "w2"]
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+        for doc, mark, t, want in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "paths"))):
+            roll = Rolling(words_of(t), box())
+            for p in want:
+                at = np.arange(p["start"], p["start"] + p["n"])
+                w1, w2 = roll.of(at, at + span)
+                out.append((p["p1"], p["p2"], doc, mark, p["start"], p["last"], w1.view(np.int64), w2.view(np.int64)))
+                held += p["n"]
+                if held > 100_000:
+                    yield pack()
+                    out, held = [], 0
+        if out:
+            yield pack()
+
+    kept = rows.join(by_doc, ["doc", "mark"]).select("doc", "mark", "text", "paths")
+    return map_arrow(kept, run, "p1 long, p2 long, doc long, mark long, start int, last long, w1 array<long>, w2 array<long>")
+
+
+def edges(windows: DataFrame) -> DataFrame:
+    """(w1, w2, source, prev1, prev2, next1, next2): the edges that stand in two documents or more.
+
+    prev and next are the only edge before and after it, null where there are several or where a local
+    path begins or ends there; source is the smallest document."""
+    e = windows.select("doc", "last", F.size("w1").alias("n"), "w1", "w2", F.posexplode(F.arrays_zip(F.col("w1").alias("x"), F.col("w2").alias("y"))).alias("i", "e"))
+    beside = lambda c, step: F.try_element_at(c, F.col("i") + F.lit(1 + step))
+    first, final = F.col("i") == 0, F.col("i") == F.col("n") - 1
+    e = e.select(
+        F.col("e.x").alias("w1"), F.col("e.y").alias("w2"), "doc", "last",
+        *[F.when(~first, beside(F.col(w), F.when(first, 0).otherwise(-1))).alias(f"b{w}") for w in ("w1", "w2")],
+        *[F.when(~final, beside(F.col(w), 1)).alias(f"a{w}") for w in ("w1", "w2")],
+    )
+    beyond = [f(c).alias(f"{k}_{c}") for c in ("bw1", "bw2", "aw1", "aw2") for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    g = e.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n"), *beyond).where("source < last")
+
+    def only(side: str):
+        sure = " and ".join(f"lo_{side}{w} = hi_{side}{w} and n_{side}{w} = n" for w in ("w1", "w2"))
+        return [F.when(F.expr(sure), F.col(f"lo_{side}{w}")) for w in ("w1", "w2")]
+
+    (p1, p2), (n1, n2) = only("b"), only("a")
+    return g.select("w1", "w2", "source", p1.alias("prev1"), p2.alias("prev2"), n1.alias("next1"), n2.alias("next2"))
+
+
+def compact(graph: DataFrame) -> DataFrame:
+    """(w1, w2, source, n): the heads of the nonbranching paths of a staged edge table, and their numbers of edges.
+
+    Every local path begins with an edge that nothing is sure to come before, so no path is a ring."""
+    before = graph.select(F.col("w1").alias("up1"), F.col("w2").alias("up2"), F.col("next1").alias("x1"), F.col("next2").alias("x2"))
+    at = (F.col("prev1") == F.col("up1")) & (F.col("prev2") == F.col("up2")) & (F.col("x1") == F.col("w1")) & (F.col("x2") == F.col("w2"))
+    links = staged(graph.join(before, at).select("w1", "w2", "up1", "up2", F.lit(1).alias("far"), F.lit(False).alias("moved")))
+    while not links.isEmpty():
+        to = links.select(F.col("w1").alias("up1"), F.col("w2").alias("up2"), F.col("up1").alias("t1"), F.col("up2").alias("t2"), F.col("far").alias("more"))
+        jumped = links.join(to, ["up1", "up2"], "left").select(
+            "w1", "w2", F.coalesce("t1", "up1").alias("up1"), F.coalesce("t2", "up2").alias("up2"),
+            (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("more").isNotNull().alias("moved"),
+        )
+        last, links = links, staged(jumped)
+        discard(last)
+        if links.where("moved").isEmpty():
+            break
+    heads = graph.join(links, ["w1", "w2"], "left_anti").select("w1", "w2", "source")
+    longest = links.groupBy(F.col("up1").alias("w1"), F.col("up2").alias("w2")).agg(F.max("far").alias("far"))
+    return heads.join(longest, ["w1", "w2"], "left").select("w1", "w2", "source", (F.coalesce("far", F.lit(0)) + 1).alias("n"))
+
+
+def repeated_paths(rows: DataFrame, span: int) -> DataFrame:
+    """(doc, mark, start, n, sdoc, smark, sstart): runs of windows, and where they start in a smaller document."""
+    every = staged(paths(rows, span))
+    # a minimizer in one place only belongs to no repeat; most paths end here
+    twice = staged(every.groupBy("m").agg(F.count(F.lit(1)).alias("places")).where("places > 1"))
+    live = staged(join_skewed(every, twice, ["m"], "places", "left_semi"))
+    discard(every, twice)
+    at = F.min(F.struct("doc", "mark", "start", "n")).alias("at")
+    distinct = live.groupBy("m", "p1", "p2").agg(at, F.max("doc").alias("last"), F.count(F.lit(1)).alias("held"))
+    distinct = staged(distinct.select("m", "p1", "p2", "at.*", "last", "held"))
+    ways = staged(distinct.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1"))
+    windows = staged(_windows(rows, join_skewed(distinct, ways, ["m"], "ways", "left_semi"), span))
+    graph = staged(edges(windows))
+    heads = staged(compact(graph))
+    place = windows.select("p1", "p2", "doc", "mark", "start", F.posexplode(F.arrays_zip(F.col("w1").alias("x"), F.col("w2").alias("y"))).alias("i", "e"))
+    place = place.select("p1", "p2", "doc", "mark", "start", "i", F.col("e.x").alias("w1"), F.col("e.y").alias("w2"))
+    place = staged(place.join(heads, ["w1", "w2"]))
+    origin = place.where("doc = source").groupBy("w1", "w2").agg(F.min(F.struct("mark", (F.col("start") + F.col("i")).alias("sstart"))).alias("o"))
+    split = place.join(origin, ["w1", "w2"]).groupBy("p1", "p2").agg(F.collect_set(F.struct("i", "n", F.col("source").alias("sdoc"), F.col("o.mark").alias("smark"), F.col("o.sstart").alias("sstart"))).alias("split"))
+    own = F.struct(F.lit(0).alias("i"), "n", F.col("doc").alias("sdoc"), F.col("mark").alias("smark"), F.col("start").alias("sstart"))
+    known = distinct.join(split, ["p1", "p2"], "left").where("doc < last or split is not null")
+    known = staged(known.select("p1", "p2", "held", F.col("doc").alias("first"), own.alias("own"), "split"))
+    # a path that a smaller document has whole comes from there; else its parts that smaller documents have
+    met = join_skewed(live.select("p1", "p2", "doc", "mark", "start"), known, ["p1", "p2"], "held")
+    parts = F.when(F.col("first") < F.col("doc"), F.array("own")).otherwise(F.filter("split", lambda s: s["sdoc"] < F.col("doc")))
+    found = met.select("doc", "mark", F.col("start").alias("at"), F.explode(parts).alias("s"))
+    out = staged(found.select("doc", "mark", (F.col("at") + F.col("s.i")).alias("start"), "s.n", "s.sdoc", "s.smark", "s.sstart"))
+    discard(live, distinct, ways, windows, graph, heads, place, known)
+    return out
 
-    return map_arrow(d.select("first", "text", "paths"), run, "w1 long, w2 long, first long, start int, i int")
 
+def spans_of(runs: DataFrame, span: int) -> DataFrame:
+    """(doc, mark, start, stop, shift, sdoc, smark): runs on one diagonal that meet or overlap, as spans of words."""
+    diagonal = ["doc", "mark", "sdoc", "smark", "shift"]
+    d = runs.select("doc", "mark", "sdoc", "smark", (F.col("start") - F.col("sstart")).alias("shift"), "start", (F.col("start") + F.col("n")).alias("end"))
+    order = Window.partitionBy(*diagonal).orderBy("start")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("new", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0))
+    d = d.withColumn("no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.groupBy(*diagonal, "no").agg(F.min("start").alias("start"), (F.max("end") + F.lit(span - 1)).alias("stop"))
+    return d.select("doc", "mark", "start", "stop", "shift", "sdoc", "smark")
 
-def repeated_windows(docs: DataFrame, span: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, n): runs of windows of a document that also start in a document of smaller doc_id."""
-    every = staged(paths(docs, span, key, text))
-    # a minimizer in one place only belongs to no repeat; most paths end here
-    twice = every.groupBy("m").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("m")
-    live = staged(every.join(twice, "m", "left_semi"))
-    discard(every)
-    distinct = live.groupBy("m", "p1", "p2").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"), F.max("doc_id").alias("last"))
-    distinct = staged(distinct.select("m", "p1", "p2", F.col("at.doc_id").alias("first"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), "last"))
-    branching = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m")
-    at_branches = distinct.join(branching, "m", "left_semi").select("first", "start", "n")
-    windows = staged(_window_hashes(docs, at_branches, span, key, text))
-    # a window of several paths: the smallest document of any of them
-    source = windows.groupBy("w1", "w2").agg(F.min("first").alias("source"), F.max("first").alias("other")).where("source < other").select("w1", "w2", "source")
-    elsewhere = windows.join(source, ["w1", "w2"]).where("source < first").groupBy("first", "start").agg(F.collect_list(F.struct("i", "source")).alias("split"))
-    known = distinct.select("p1", "p2", "first", "start", "last").join(elsewhere, ["first", "start"], "left")
-    known = known.where("first < last or split is not null").select("p1", "p2", "first", "split")
-    met = live.select("p1", "p2", "doc_id", "start", "n").join(known, ["p1", "p2"])
-    whole_path = F.col("first") < F.col("doc_id")
-    own = F.array(F.struct("start", "n"))
-    part = F.transform(F.filter("split", lambda s: s["source"] < F.col("doc_id")), lambda s: F.struct((F.col("start") + s["i"]).alias("start"), F.lit(1).alias("n")))
-    runs = met.select("doc_id", F.explode(F.when(whole_path, own).otherwise(part)).alias("run"))
-    out = staged(runs.select("doc_id", "run.start", "run.n"))
-    discard(live, distinct, windows)
+
+def with_source_words(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc, mark, start, stop, shift, block, words): spans, a row per block of BLOCK words of their source, with these words.
+
+    A source gives each of its blocks once, however many copies it has."""
+    block = lambda at: F.floor((F.col(at) - F.col("shift") - F.lit(int(at == "stop"))) / BLOCK).cast("int")
+    asked = staged(spans.withColumn("block", F.explode(F.sequence(block("start"), block("stop")))))
+    wanted = asked.groupBy("sdoc", "smark", "block").agg(F.count(F.lit(1)).alias("held"))
+    wanted = wanted.groupBy(F.col("sdoc").alias("doc"), F.col("smark").alias("mark")).agg(F.collect_list(F.struct("block", "held")).alias("blocks"))
+
+    def run(batch: pa.RecordBatch):
+        out = []
+        for doc, mark, t, blocks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            words = words_of(t)
+            out += [(doc, mark, b["block"], b["held"], b" ".join(words[b["block"] * BLOCK : (b["block"] + 1) * BLOCK])) for b in blocks]
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["sdoc", "smark", "block", "held", "words"])
+
+    given = map_arrow(rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "blocks"), run, "sdoc long, smark long, block int, held long, words binary")
+    given = staged(given.groupBy("sdoc", "smark", "block").agg(F.max("held").alias("held"), F.max("words").alias("words")))  # equal rows give equal blocks
+    out = staged(join_skewed(asked, given, ["sdoc", "smark", "block"], "held").select("doc", "mark", "start", "stop", "shift", "block", "words"))
+    discard(asked, given)
     return out
 
 
+def same_words(words: list[bytes], s: dict) -> bool:
+    """Whether the words of a span are those of the source's block, as far as the block reaches."""
+    source, first = s["words"].split(b" "), s["block"] * BLOCK
+    a, b = max(s["start"] - s["shift"], first), min(s["stop"] - s["shift"], first + BLOCK)
+    return words[a + s["shift"] : b + s["shift"]] == source[a - first : b - first]
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:int,stop:int>>"
 
 
 def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """Per document: words, words removed, SHA-256 of the kept words, the kept words, the removed spans.
-
-    A word goes if a window of `span` words that covers it also starts in a document of smaller doc_id;
-    windows are judged on the input. Null texts have no words. Rows with a null doc_id neither lose
-    words nor are a source. Rows that repeat a doc_id are one document's rows: they are no source to each
-    other, and lose what any of them loses at the same place. An empty table gives no rows.
+    """Per row: words, words removed, SHA-256 of the kept words, the kept words, the removed spans.
+
+    A word goes if a window of `span` words that covers it also starts in a row of smaller doc_id;
+    windows are judged on the input. A span whose words are not those at its source coordinates, which
+    takes a collision of 128-bit hashes, stays. Null and empty texts have no words; texts of any length
+    are read whole. Rows with a null doc_id neither lose words nor are a source. Rows that repeat a
+    doc_id are no source to each other; each is judged by its own text, and equal rows alike. Columns of
+    any other name are left out. An empty table gives no rows.
     """
-    runs = repeated_windows(docs, span, key, text)
-    lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(lost, F.col("id") == F.col("doc_id"), "left").select("id", "text", "runs")
+    rows = _rows(docs, key, text)
+    runs = repeated_paths(rows, span)
+    known = with_source_words(rows, spans_of(runs, span))
+    discard(runs)
+    lost = known.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop", "shift", "block", "words")).alias("parts"))
+    d = rows.join(lost, ["doc", "mark"], "left").select("doc", "text", "parts")
 
     def run(batch: pa.RecordBatch):
         out: list[tuple] = []
-        for doc, t, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for doc, t, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
             words = words_of(t)
+            other = {(s["start"], s["stop"], s["shift"]) for s in parts or () if not same_words(words, s)}
             gone = np.zeros(len(words) + 1, np.int64)
-            for r in runs or ():
-                a, b = r["start"], min(r["start"] + r["n"] + span - 1, len(words))
-                if a < b:
-                    gone[a] += 1
-                    gone[b] -= 1
+            for a, b in {(s["start"], s["stop"]) for s in parts or () if (s["start"], s["stop"], s["shift"]) not in other}:
+                gone[a] += 1
+                gone[b] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             kept = b" ".join(w for w, g in zip(words, gone) if not g) if gone.any() else b" ".join(words)
-            edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-            cut = [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+            ends = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+            cut = [{"start": int(a), "stop": int(b)} for a, b in zip(ends[::2], ends[1::2])]
             out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None, cut))
         cols = list(zip(*out)) or [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))

@@ -133,11 +133,55 @@ def test_spans_match_brute_force(spark, corpus):
 
 def test_spans_edges(spark, corpus):
     assert spans.remove_repeats(frame(spark, [])).count() == 0
-    odd = frame(spark, [corpus[0], corpus[0], (None, corpus[0][1], None), (7, corpus[0][1], None)]).withColumn("runs", F.lit(1))
+    odd = frame(spark, [corpus[0], corpus[0], (None, corpus[0][1], None), (7, corpus[0][1], None)]).withColumns({c: F.lit(1) for c in ("runs", "doc", "mark", "parts", "m")})
     got = sorted((str(r.doc_id), r.n_removed) for r in spans.remove_repeats(odd).collect())
     assert got == [("0", 0), ("0", 0), ("7", 120), ("None", 0)]
 
 
+def test_spans_where_ids_repeat(spark, words):
+    x, a = " ".join(words(80)), " ".join(words(80))
+    got = sorted((r.doc_id, r.kept[:20], r.n_removed) for r in spans.remove_repeats(frame(spark, [(3, x, "s"), (7, a, "s"), (7, x, "s"), (7, x, "s")])).collect())
+    assert got == [(3, x[:20], 0), (7, "", 80), (7, "", 80), (7, a[:20], 0)]
+
+
+def test_spans_of_many_contexts(spark, words):
+    """Passages in ever other surroundings branch; copies of copies have several sources."""
+    rng = random.Random(6)
+    passages = [words(rng.randint(50, 140)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = words(rng.randint(0, 30))
+        for _ in range(rng.randint(1, 3)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) // 3)
+            w += p[a : rng.randint(a + 30, len(p))] + words(rng.randint(0, 20))
+        rows.append((i * 7 % 61, " ".join(w + (["ha", "ho"] * 70 if i % 9 == 0 else [])), "s"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in spans.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_spans(rows)
+
+
+def test_compact_by_pointer_jumping(spark):
+    """A path of 37 edges, a fork of two at its end."""
+    line = [(i, i, 0, *((i - 1,) * 2 if i else (None,) * 2), *((i + 1,) * 2 if i < 36 else (None,) * 2)) for i in range(37)]
+    fork = [(k, k, 1, 36, 36, None, None) for k in (50, 60)]
+    g = spark.createDataFrame(line + fork, "w1 long, w2 long, source long, prev1 long, prev2 long, next1 long, next2 long")
+    assert {(r.w1, r.source, r.n) for r in spans.compact(g).collect()} == {(0, 0, 37), (50, 1, 1), (60, 1, 1)}
+
+
+def test_spans_are_verified_by_source_coordinates(words):
+    w = [x.encode() for x in words(200)]
+    s = {"start": 70, "stop": 130, "shift": -30, "block": 1, "words": b" ".join(w[34:98])}
+    assert spans.same_words(w, s)
+    assert not spans.same_words(w, s | {"words": b" ".join([*w[34:90], b"other", *w[91:98]])})
+
+
+def test_spans_of_very_long_texts(spark, words):
+    base = words(20_000)
+    rows = [(i, " ".join(base if i % 2 else words(200) + base[:19_000]), "s") for i in range(40)]
+    got = {r.doc_id: r.n_words - r.n_removed for r in spans.remove_repeats(frame(spark, rows), texts=False).collect()}
+    assert got[0] == 19_200 and got[1] == 1_000 and all(got[i] == (0 if i % 2 else 200) for i in range(2, 40))
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 120), (5, 5)]
     got = {r.id: r.label for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
