@@ -80,7 +80,8 @@ def brute_top(rows, k=5):
 def test_top_k_is_exact(spark, vectors, block):
     rows = vectors + ODD + [(2000 + i, vectors[0][1]) for i in range(9)]  # ties
     got = {}
-    for r in covertree.top_k(frame(spark, rows), F.col("id") % 50 == 0, least_block=block, most_block=block).orderBy("query_id", "rank").collect():
+    odd = frame(spark, rows).withColumns({c: F.lit(1) for c in ("id", "v", "d", "cell", "query", "floor")})
+    for r in covertree.top_k(odd, F.col("id") % 50 == 0, block=block).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     assert got == brute_top(rows)
 
@@ -90,15 +91,46 @@ def test_top_k_edges(spark):
     assert [(r.query_id, r.vec_id) for r in covertree.top_k(frame(spark, [(0, [1.0]), (7, [1.0])]), F.col("id") % 50 == 0).collect()] == [(0, 7)]
 
 
-def test_cover_tree_covers():
+def test_top_k_above_doubles(spark):
+    """Sums that doubles can't tell apart."""
+    big = float(2**30)
+    rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 2.0]), (3, [big, 3.0]), (None, [big, 9.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in covertree.top_k(d, F.col("id") == 0, scale=1.0).orderBy("rank").collect()]
+    assert got == [(3, 2**60 + 3), (2, 2**60 + 2), (1, 2**60 + 1)]
+    assert covertree.exact_products(np.array([[2**40, 5]]), np.array([[2**40, 1]])).tolist() == [[np.iinfo(np.int64).max]]
+
+
+def test_inner_query_nodes_prune():
+    """Clusters: pairs of whole nodes are ruled out above the leaves, and results stay those of brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16)) * 400
+    x = np.floor(np.concatenate([c + rng.normal(size=(400, 16)) * 6 for c in centres])).astype(np.int64)
+    q = x[::7]
+    s = covertree.Search(q, np.arange(len(x))[::7], x, np.arange(len(x)), 5, leaf=32)
+    full = q @ x.T
+    full[np.arange(len(q)), np.arange(len(x))[::7]] = np.iinfo(np.int64).min
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), full.shape), ~full), axis=1)[:, :5]
+    assert (s.found == order).all() and s.inner_pruned > 0 and s.met < 0.2 * (len(q) / 16) * (len(x) / 32)
+
+
+def test_cover_tree_levels():
     x = np.random.default_rng(3).normal(size=(700, 6))
     t = covertree.CoverTree(x, leaf=16)
-    seen = []
 
     def walk(n):
         own = n.rows if n.rows is not None else np.concatenate([walk(c) for c in n.children])
         assert np.sqrt(((x[own] - n.center) ** 2).sum(1)).max() <= n.radius + 1e-9
         return own
 
-    seen = walk(t.root)
-    assert sorted(seen.tolist()) == list(range(700))
+    assert sorted(walk(t.root).tolist()) == list(range(700))
+    before = None
+    for scale, net in t.levels:
+        apart = np.sqrt(((x[net][:, None] - x[net][None]) ** 2).sum(2))
+        assert (apart[~np.eye(len(net), dtype=bool)] > scale).all()  # separation
+        if before is not None:
+            assert np.sqrt(((x[before][:, None] - x[net][None]) ** 2).sum(2)).min(1).max() <= scale  # covering
+            assert set(net) <= set(before)  # nesting
+        before = net
+    repeats = covertree.CoverTree(np.ones((50, 3)), leaf=8)
+    assert repeats.root.rows is not None and len(repeats.root.rows) == 50
