@@ -45,7 +45,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: tuple | None = None
     """One row per piece of each document: ids of its text (null: none), then id 0, cut if longer than capacity.
 
     Of a cut document the first piece is the short one, all others are full. Rows with equal or null keys
-    are separate documents. An empty table gives no pieces.
+    are separate documents. Texts of any length are read whole. Columns of any other name are left out.
+    An empty table gives no pieces.
     """
     if tokenizer is None:
         import public_tokenizers as public
@@ -97,6 +98,33 @@ def fitness(bins: list, capacity: int) -> tuple:
     return (-len(bins), sum((fill / capacity) ** 2 for fill, _ in bins))
 
 
+def replace(bins: list, loose: list[int], size: list[int], capacity: int) -> tuple[list, list[int]]:
+    """Fill bins better by swapping one or two of their items for a larger loose one that still fits; what
+    is swapped out becomes loose, so loose items only get smaller."""
+    pool, out = sorted((size[i], i) for i in loose), []
+    for fill, held in bins:
+        room = capacity - fill
+        if room and pool:
+            few = held[:8]
+            for gone in [(i,) for i in held] + [(i, j) for n, i in enumerate(few) for j in few[:n]]:
+                old = sum(size[i] for i in gone)
+                at = bisect_left(pool, (old + room + 1, -1)) - 1
+                if at >= 0 and pool[at][0] > old:
+                    new, item = pool.pop(at)
+                    held = [i for i in held if i not in gone] + [item]
+                    fill += new - old
+                    for i in gone:
+                        insort(pool, (size[i], i))
+                    break
+        out.append((fill, held))
+    return out, [i for _, i in pool]
+
+
+def _settle(bins: list, loose: list[int], size: list[int], capacity: int) -> list:
+    bins, loose = replace(bins, loose, size, capacity)
+    return best_fit(bins, loose, size, capacity)
+
+
 def cross(a: list, b: list, size: list[int], capacity: int, rng: random.Random) -> list:
     """Inject a share of b's best filled bins whole into a, drop a's bins that hold any of their items,
     and best-fit what that displaces."""
@@ -109,44 +137,58 @@ def cross(a: list, b: list, size: list[int], capacity: int, rng: random.Random)
             kept.append(bin_)
         else:
             displaced.extend(i for i in bin_[1] if i not in taken)
-    return best_fit(injected + kept, displaced, size, capacity)
+    return _settle(injected + kept, displaced, size, capacity)
 
 
 def mutate(a: list, size: list[int], capacity: int, rng: random.Random) -> list:
     """Empty some of the worst filled bins and a few others, and best-fit their items."""
-    ranked = sorted(a, key=lambda x: x[0])
-    out = ranked[: max(1, len(a) // 20)] + rng.sample(ranked, min(len(a), 3))
-    gone = {id(x) for x in out}
-    return best_fit([x for x in a if id(x) not in gone], [i for x in {id(x): x for x in out}.values() for i in x[1]], size, capacity)
+    ranked = sorted(range(len(a)), key=lambda n: a[n][0])
+    out = {*ranked[: max(1, len(a) // 20)], *rng.sample(ranked, min(len(a), 4))}
+    return _settle([x for n, x in enumerate(a) if n not in out], [i for n in sorted(out) for i in a[n][1]], size, capacity)
 
 
-def evolve(size: list[int], capacity: int, seed: int, migrants: list | None = None, population: int = 6, generations: int = 12) -> list:
-    """The best packing of one island. Stops at the volume bound, which no packing can beat."""
+def evolve(size: list[int], capacity: int, seed: int, migrants: list | None = None, population: int = 6, patience: int = 12) -> list:
+    """The best packing of one island: its own population, into which migrants, elite packings of another
+    island, come. Ends at the volume bound, which no packing can beat, or after `patience` generations
+    in which the best packing did not get better."""
     rng = random.Random(seed)
     bound = -(-sum(size) // capacity)
+    fit = lambda p: fitness(p, capacity)
     order = list(range(len(size)))
-    pool = [best_fit([], order, size, capacity)] + [x for x in migrants or []]
+    pool = [best_fit([], order, size, capacity), *(migrants or [])]
     while len(pool) < population and len(pool[0]) > bound:
         pool.append(mutate(pool[rng.randrange(len(pool))], size, capacity, rng))
-    for _ in range(generations):
-        pool.sort(key=lambda p: fitness(p, capacity), reverse=True)
-        if len(pool[0]) <= bound:
-            break
-        a, b = pool[0], pool[rng.randrange(1, len(pool))]
-        child = cross(a, b, size, capacity, rng) if rng.random() < 0.7 else mutate(a, size, capacity, rng)
-        pool[-1] = max(pool[-1], child, key=lambda p: fitness(p, capacity))
-    return max(pool, key=lambda p: fitness(p, capacity))
+    pool.sort(key=fit, reverse=True)
+    idle = 0
+    while len(pool[0]) > bound and idle < patience:
+        a, b = pool[rng.randrange(2)], pool[rng.randrange(1, len(pool))]
+        child = mutate(cross(a, b, size, capacity, rng), size, capacity, rng)
+        idle = 0 if fit(child) > fit(pool[0]) else idle + 1
+        pool[-1] = max(pool[-1], child, key=fit)
+        pool.sort(key=fit, reverse=True)
+    return pool[0]
+
 
+PLACED = "no long, length long, district long, island int, bin long, offset long, fill long, bins long, bound long"
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, island long, bin long, offset long, fill long"
 
+def _bins(t: pa.Table, column: str, size: list[int]) -> list | None:
+    """The packing in a column of bin numbers, none where it is null."""
+    if t.column(column).null_count:
+        return None
+    held: dict[int, list[int]] = {}
+    for i, b in enumerate(t.column(column).to_pylist()):
+        held.setdefault(b, []).append(i)
+    return [(sum(size[i] for i in x), x) for x in held.values()]
 
-def _island(capacity: int, generations: int):
+
+def _island(capacity: int, patience: int):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        t = t.sort_by([("no", "ascending")])
         size = t.column("length").to_pylist()
-        island = t.column("island")[0].as_py()
-        bins = evolve(size, capacity, island & 0xFFFF, generations=generations)
+        district, island = t.column("district")[0].as_py(), t.column("island")[0].as_py()
+        come = [p for p in (_bins(t, c, size) for c in ("own", "migrant")) if p]
+        bins = evolve(size, capacity, (district & 0xFFFF) * 64 + island + 7 * bool(come), come, patience=patience)
         n = len(size)
         bin_, offset, fill = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for b, (full, held) in enumerate(bins):
@@ -154,43 +196,73 @@ def _island(capacity: int, generations: int):
             for i in held:
                 bin_[i], offset[i], fill[i] = b, at, full
                 at += size[i]
-        return pa.table([*[t.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "island")], pa.array(bin_), pa.array(offset), pa.array(fill)], names=[x.split()[0] for x in PLACED.split(", ")])
+        every = [pa.array(np.full(n, x)) for x in (len(bins), -(-sum(size) // capacity))]
+        return pa.table([*[t.column(c) for c in ("no", "length", "district", "island")], pa.array(bin_), pa.array(offset), pa.array(fill), *every], names=[x.split()[0] for x in PLACED.split(", ")])
 
     return run
 
 
-def pack(parts: DataFrame, capacity: int = 2048, island_rows: int = 4000, rounds: int = 2, keep: float = 1.0, generations: int = 12) -> DataFrame:
+def _evolved(dealt: DataFrame, capacity: int, islands: int, epochs: int, patience: int) -> DataFrame:
+    """(no, length, district, bin, offset, fill): the best packing of each district (no, length, district).
+
+    A district's pieces are packed by `islands` populations apart. Between epochs the best packing of each
+    island, its elite, goes to the next island of the district's ring, where crossover injects its best
+    bins whole. Districts at their volume bound are done and go through no more epochs."""
+    none = [F.lit(None).cast("long").alias(c) for c in ("own", "migrant")]
+    open_ = dealt.select("no", "length", "district", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), *none)
+    done = []
+    for epoch in range(epochs):
+        placed = staged(open_.groupBy("district", "island").applyInArrow(_island(capacity, patience), PLACED))
+        at = placed.groupBy("district").agg(F.min(F.struct("bins", "island")).alias("b"), F.min("bound").alias("bound"))
+        at = staged(at.select(F.col("district").alias("at"), F.col("b.island").alias("best"), (F.col("b.bins") <= F.col("bound")).alias("done")))
+        ends = F.lit(True) if epoch == epochs - 1 else F.col("done")
+        done.append(placed.join(at, (F.col("district") == F.col("at")) & (F.col("island") == F.col("best"))).where(ends).select("no", "length", "district", "bin", "offset", "fill"))
+        if epoch == epochs - 1 or at.where("not done").isEmpty():
+            break
+        left = placed.join(at.where("not done"), F.col("district") == F.col("at")).select("no", "length", "district", "island", "bin")
+        own = left.withColumnRenamed("bin", "own")
+        come = left.select("no", ((F.col("island") + 1) % islands).alias("island"), F.col("bin").alias("migrant"))
+        open_ = own.join(come, ["no", "island"]).select("no", "length", "district", "island", "own", "migrant")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def pack(parts: DataFrame, capacity: int = 2048, district_rows: int = 4000, rounds: int = 2, keep: float = 1.0, islands: int = 3, epochs: int = 3, patience: int = 12) -> DataFrame:
     """parts with sequence_id and offset: gapless, no sequence over capacity.
 
-    Full pieces are sequences of their own. The others are dealt by hash to islands of about island_rows
-    pieces, each of which evolves packings apart. Between rounds an island's elite, its sequences filled
-    to at least `keep`, settles; the pieces of all others migrate to fewer islands, where they meet those
-    of other islands. So at the end one sequence an island of the last round is badly filled, if any.
+    Full pieces are sequences of their own. The others are numbered and dealt by a hash of the number, so
+    that equal rows part, to districts of about district_rows pieces, each evolved by islands (see
+    _evolved). Between rounds sequences filled to at least `keep` settle; the pieces of all others are dealt
+    to fewer districts, where they meet those of other ones. So at the end one sequence a district of
+    the last round is badly filled, if any.
     """
     ship(parts.sparkSession)
-    parts = staged(parts)
-    base = F.concat_ws(":", "doc_id", "piece", "ids_crc32")
-    full = parts.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(7 << 60) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    rest, done = parts.where(F.col("length") < capacity), [full.select("*")]
-    columns = [*parts.columns, "sequence_id", "offset"]
+    columns = parts.columns
+    parts = staged(parts.withColumn("no", F.monotonically_increasing_id()))
+    full = parts.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(7 << 60) + F.col("no"), "offset": F.lit(0).cast("long")})
+    rest, settled = parts.where(F.col("length") < capacity).select("no", "length"), []
     for turn in range(rounds + 1):
         n = rest.count()
         if not n:
             break
-        islands = max(1, -(-n // island_rows))
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64(F.lit(turn), base), F.lit(islands)).cast("long"))
-        placed = staged(dealt.groupBy("island").applyInArrow(_island(capacity, generations), PLACED))
-        placed = placed.withColumn("sequence_id", F.lit(turn << 60) + F.col("island") * F.lit(1 << 20) + F.col("bin"))
-        last = turn == rounds or islands == 1
-        settled = placed if last else placed.where(F.col("fill") >= keep * capacity)
-        done.append(settled.select(*columns))
+        districts = max(1, -(-n // district_rows))
+        dealt = rest.withColumn("district", F.pmod(F.xxhash64(F.lit(turn), "no"), F.lit(districts)).cast("long"))
+        placed = staged(_evolved(dealt, capacity, islands, epochs, patience))
+        placed = placed.withColumn("sequence_id", F.lit(turn << 60) + F.col("district") * F.lit(1 << 20) + F.col("bin"))
+        last = turn == rounds or districts == 1
+        settled.append((placed if last else placed.where(F.col("fill") >= keep * capacity)).select("no", "sequence_id", "offset"))
         if last:
             break
-        rest = placed.where(F.col("fill") < keep * capacity).select(*parts.columns)
-    out = done[0].select(*columns)
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        rest = placed.where(F.col("fill") < keep * capacity).select("no", "length")
+    out = full.select(*columns, "sequence_id", "offset")
+    if not settled:
+        return out
+    places = settled[0]
+    for x in settled[1:]:
+        places = places.unionByName(x)
+    return out.unionByName(parts.join(places, "no").select(*columns, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFrame:

@@ -236,7 +236,7 @@ def test_packing_round_trip(spark, words):
     rng = random.Random(2)
     texts = [" ".join(words(rng.randint(0, 90))) for _ in range(300)] + [" ".join(words(1500)), "a <|endoftext|> b", "", None, "é\n\n  x"]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, "null id", "s")]
-    got = packing.pack_documents(frame(spark, rows), capacity=256, island_rows=100).collect()
+    got = packing.pack_documents(frame(spark, rows), capacity=256, district_rows=100).collect()
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t, _ in rows}
     cover = collections.Counter()
     for r in got:
@@ -265,12 +265,43 @@ def test_genetic_operators_keep_every_item():
     size = [rng.randint(200, 700) for _ in range(120)]
     a, b = packing.best_fit([], list(range(120)), size, 1000), packing.best_fit([], list(range(0, 120, 2)), size, 1000)
     b = packing.best_fit(b, list(range(1, 120, 2)), size, 1000)
-    for p in (packing.cross(a, b, size, 1000, rng), packing.mutate(a, size, 1000, rng), packing.evolve(size, 1000, 3)):
+    for p in (packing.cross(a, b, size, 1000, rng), packing.mutate(a, size, 1000, rng), packing.evolve(size, 1000, 3, [b])):
         assert sorted(i for _, held in p for i in held) == list(range(120))
         assert all(fill == sum(size[i] for i in held) <= 1000 for fill, held in p)
     assert len(packing.evolve(size, 1000, 3)) <= len(a)
 
 
+def test_search_beats_best_fit():
+    rng, plain, evolved, bound = random.Random(21), 0, 0, 0
+    for n in range(12):
+        size = [rng.randint(20, 100) for _ in range(120)]
+        plain += len(packing.best_fit([], list(range(120)), size, 150))
+        evolved += len(packing.evolve(size, 150, n, patience=60))
+        bound += -(-sum(size) // 150)
+    assert bound <= evolved < plain
+
+
+def test_elite_migrates(spark):
+    """Islands of one district: what one found comes to the next, and the best packing is what is left."""
+    rng = random.Random(4)
+    rows = [(i, rng.randint(20, 100), i % 3) for i in range(360)]
+    d = spark.createDataFrame(rows, "no long, length long, district long")
+    few = [packing._evolved(d, 150, islands, epochs, 15).select("no", "length", "district", "bin", "offset").collect() for islands, epochs in ((1, 1), (3, 3))]
+    bins = [len({(r.district, r.bin) for r in x}) for x in few]
+    assert bins[1] <= bins[0] and all(sorted(r.no for r in x) == list(range(360)) for x in few)
+    used = collections.Counter()
+    for r in few[1]:
+        used[r.district, r.bin] += r.length
+    assert max(used.values()) <= 150
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    d = spark.range(900).select(F.lit(5).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(40).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    got = packing.pack(d, 100, district_rows=90, rounds=0).collect()
+    assert len(got) == 900 and len({r.sequence_id >> 20 for r in got}) > 5
+    assert max(collections.Counter(r.sequence_id for r in got).values()) == 2
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mr. John Smith met Frau Müller; Mrs. Ann Smith wrote j.doe@x-y.co.uk at 10.0.0.1.", "a"),
