@@ -19,6 +19,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -27,21 +28,44 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
+#: Words that tell licenses apart. A template's own must all match, and none may stand in its stretch, or just
+#: beside it, that it doesn't have.
+DECISIVE = frozenset(b"lesser library affero sa nc nd by sharealike noncommercial noderivatives noderivs mit apache mozilla bsd isc gpl lgpl agpl gnu cc cc0 not".split())
 
 _TOKEN = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*|[\x80-\xff]+")
 
 
 def tokens(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Lower-case words and numbers, with their first and last byte in the UTF-8 text."""
+    """Lower-case words and numbers (2.0 is 2), with their first and last byte in the UTF-8 text."""
     raw = (text or "").encode("utf-8", "replace").lower()
     found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(raw)]
     w, a, b = zip(*found) if found else ((), (), ())
-    return list(w), np.array(a, np.int64), np.array(b, np.int64)
+    w = [x.removesuffix(b".0") if x[:1].isdigit() else x for x in w]
+    return w, np.array(a, np.int64), np.array(b, np.int64)
 
 
 def winnow(h: np.ndarray, width: int) -> np.ndarray:
@@ -51,39 +75,57 @@ def winnow(h: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Inverted index from winnowed fingerprints to (template, position). Its size is that of the templates."""
+    """Inverted index from winnowed fingerprints to (template, position). Its size is that of the templates.
+
+    Winnowing is sure to keep one fingerprint of any k + width - 1 words. A template of fewer words is
+    indexed by all of its runs of `short` words, as are the documents for these templates alone."""
 
     templates: dict[str, tuple[str, ...]] = field(default_factory=lambda: TEMPLATES)
     k: int = 3
     width: int = 3
+    short: int = 2
 
     def __post_init__(self):
         hashes = WordHashes()
-        self.names, self.words, self.at = [], [], {}
+        self.names, self.words, self.at, self.few = [], [], {}, {}
         for name, texts in sorted(self.templates.items()):
             for t in texts:
                 words = tokens(t)[0]
                 self.names.append(name)
                 self.words.append(words)
+                if not words:
+                    raise ValueError(f"a template of {name} has no words")
+                if len(words) < self.k + self.width - 1:
+                    for i, x in enumerate(shingles(hashes.of(words), self.short).tolist()):
+                        self.few.setdefault(x, []).append((len(self.words) - 1, i))
+                    continue
                 h = shingles(hashes.of(words), self.k)
                 kept = set(winnow(h, self.width).tolist())
                 for i, x in enumerate(h.tolist()):
                     if x in kept:
                         self.at.setdefault(x, []).append((len(self.words) - 1, i))
-        self.prints = np.array(sorted(self.at), np.uint64)
+        self.prints, self.few_prints = (np.array(sorted(x), np.uint64) for x in (self.at, self.few))
+        # a template of one word is the run of that word alone
+        self.lengths = sorted({min(self.short, len(self.words[t])) for x in self.few.values() for t, _ in x})
 
-    def candidates(self, h: np.ndarray) -> dict[int, list[int]]:
+    def candidates(self, words: np.ndarray) -> dict[int, list[int]]:
         """Per template: word positions at which it would start, by the document's own winnowed fingerprints."""
         out: dict[int, list[int]] = {}
-        if not len(h):
+        if not len(words):
             return out
+        h = shingles(words, self.k)
         hit = np.isin(h, self.prints)
-        if not hit.any():
-            return out
-        kept = winnow(h, self.width)
-        for i in np.flatnonzero(hit & np.isin(h, kept)).tolist():
-            for template, at in self.at[int(h[i])]:
-                out.setdefault(template, []).append(i - at)
+        if hit.any():
+            kept = winnow(h, self.width)
+            for i in np.flatnonzero(hit & np.isin(h, kept)).tolist():
+                for template, at in self.at[int(h[i])]:
+                    out.setdefault(template, []).append(i - at)
+        for k in self.lengths:
+            if len(words) >= k:
+                h = shingles(words, k)
+                for i in np.flatnonzero(np.isin(h, self.few_prints)).tolist():
+                    for template, at in self.few[int(h[i])]:
+                        out.setdefault(template, []).append(i - at)
         return out
 
 
@@ -117,19 +159,41 @@ def align(template: list[bytes], words: list[bytes], start: int, band: int) -> t
     return best[1], best[2], best[3]
 
 
+def decisive(word: bytes) -> bool:
+    """Words that tell licenses apart: DECISIVE ones, and numbers, which are versions."""
+    return word in DECISIVE or word[:1].isdigit()
+
+
+def told_apart(template: list[bytes], words: list[bytes], i: int, j: int) -> bool:
+    """Whether words[i:j] has the template's decisive words and no others, in order.
+
+    A short template, a notice of one line, also has no word inside that it lacks, does not follow "not",
+    and ends where the document's variant of the name does not go on ("CC BY" before "SA")."""
+    plain = lambda ws: [w for w in ws if decisive(w)]
+    if plain(template) != plain(words[i:j]):
+        return False
+    if len(template) > SHORT:
+        return True
+    return j - i <= len(template) and words[i - 1 : i] != [b"not"] and not (j < len(words) and words[j] in DECISIVE and words[j] not in (b"not", b"by"))
+
+
+#: Templates of at most so many words are notices of one line.
+SHORT = 14
+
+
 def hits(index: Index, text: str | None, hashes: WordHashes, least: float = 0.7, band: int = 8):
     """(license, coverage, matched words, words of the template, first word, past-last word, first byte,
     past-last byte) of the licenses in a text, best first where they overlap; each stretch once."""
     words, a, b = tokens(text)
     found = []
-    for template, starts in index.candidates(shingles(hashes.of(words), index.k) if words else np.zeros(0, np.uint64)).items():
+    for template, starts in index.candidates(hashes.of(words)).items() if words else ():
         last = None
         for s in sorted(starts):
             if last is not None and s - last <= band // 2:
                 continue
             last = s
             m, i, j = align(index.words[template], words, s, band)
-            if m and m / len(index.words[template]) >= least:
+            if m and m / len(index.words[template]) >= least and told_apart(index.words[template], words, i, j):
                 found.append((m / len(index.words[template]), m, template, i, j))
     taken: list[tuple[int, int]] = []
     for coverage, m, template, i, j in sorted(found, key=lambda x: (-x[1] * x[0], x[2], x[3])):
@@ -143,8 +207,10 @@ RESULT = "doc_id long, license string, coverage double, matched int, template_wo
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, key: str = "doc_id", text: str = "text", least: float = 0.7) -> DataFrame:
-    """One row per license found in each document. Null, empty and wordless texts have none; equal rows
-    report alike; whole texts are read. A template shorter than the fingerprint length is one fingerprint."""
+    """One row per license found in each document. Null, empty and wordless texts have none, nor has an empty
+    table; equal rows report alike; whole texts of any length are read; columns of any other name are left
+    out. Where licenses overlap, the one with more matched words is reported, of equal ones the first by
+    name. A template without words is refused."""
     index, box = Index(templates or TEMPLATES), []
 
     def run(batch: pa.RecordBatch):

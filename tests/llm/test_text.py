@@ -393,6 +393,56 @@ def test_license_scan(spark, words):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text, license", [
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-SA 4.0.", None),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY 3.0.", None),
+    ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 2.", "Apache-2.0"), ("Not released under the MIT at all", None),
+])
+def test_licenses_are_told_apart(text, license, words):
+    from pointmill.llm.common import WordHashes
+
+    index = licenses.Index()
+    for t in (text, " ".join(words(30)) + " " + text + "\n" + " ".join(words(30))):
+        assert [h[0] for h in licenses.hits(index, t, WordHashes())] == ([license] if license else [])
+
+
+def test_each_template_is_found_where_brute_force_aligns_it(words):
+    from pointmill.llm.common import WordHashes
+
+    rng, index, hashes = random.Random(13), licenses.Index(), WordHashes()
+    for name, template in zip(index.names, index.words):
+        before, after = words(rng.randint(0, 60)), words(rng.randint(0, 60))
+        text = " ".join(before) + " " + b" ".join(template).decode() + " " + " ".join(after)
+        doc = licenses.tokens(text)[0]
+        brute = max((licenses.align(template, doc, s, 8) for s in range(len(doc))), key=lambda x: x[0])
+        ours = [h for h in licenses.hits(index, text, hashes) if h[0] == name]
+        assert ours and (ours[0][2], ours[0][4], ours[0][5]) == brute == (len(template), len(before), len(before) + len(template))
+
+
+def test_short_templates(words):
+    from pointmill.llm.common import WordHashes
+
+    index = licenses.Index({"PD": ("Public Domain",), "ARR": ("All rights reserved",), "W": ("do what you want",), "ONE": ("Copyleft",)})
+    for t, n in ((t, n) for n, (t,) in index.templates.items()):
+        for _ in range(50):
+            text = " ".join(words(20)) + f" {t}. " + " ".join(words(20))
+            assert [h[0] for h in licenses.hits(index, text, WordHashes())] == [n]
+    with pytest.raises(ValueError):
+        licenses.Index({"x": ("...",)})
+
+
+def test_licenses_overlap_clash_and_long_texts(spark, words):
+    three = licenses.TEMPLATES["BSD-3-Clause"][0]
+    rows = [(1, " ".join(words(20_000)) + " " + three, "s"), (2, licenses.TEMPLATES["BSD"][0] + " " + " ".join(words(9)), "s")]
+    d = frame(spark, rows).withColumns({c: F.lit(1) for c in ("license", "coverage", "start_word")})
+    assert sorted((r.doc_id, r.license, r.start_word) for r in licenses.scan(d).collect()) == [(1, "BSD-3-Clause", 20_000), (2, "BSD", 0)]
+
+
 def labelled(words, n=700):
     rng, docs, labels = random.Random(8), [], []
     bad = ["vilest", "wretchedo", "scumbago", "rottenest"]
