@@ -28,7 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in text; n_chars, where the table has it, follows the new text."""
-    done = pii.replace_pii(docs)
+    done = pii.replace_pii(docs, pii.session_key(spark))
     new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(dict(docs.dtypes).get("n_chars", "int"))}
     return done.select(*[new.get(c, F.col("r")[c]).alias(c) for c in docs.columns])
 

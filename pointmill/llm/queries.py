@@ -52,7 +52,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return out.select(F.col("r.doc_id").alias("doc_id"), F.col("new_text").alias("text"), "n_replaced")
 
 

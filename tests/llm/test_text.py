@@ -311,7 +311,7 @@ def test_surrogates(spark):
     ]
     d = frame(spark, rows).withColumns({c: F.lit(1) for c in ("found", "mark", "new", "new_text", "entity")})
     got = collections.defaultdict(set)
-    for r in pii.replace_pii(d).collect():
+    for r in pii.replace_pii(d, "k").collect():
         got[r.r.doc_id].add((r.new_text, r.n_replaced))
     one, two, three = (next(iter(got[i])) for i in (1, 2, 3))
     assert all(len(v) == 1 for v in got.values()) and [n for _, n in (one, two, three)] == [5, 5, 2]
@@ -327,7 +327,7 @@ def test_surrogates(spark):
     assert luhn(ip[2]) and not luhn(ip[3])
     assert re.fullmatch(r'token = "[0-9a-f]{40}" г-жа [А-Я][а-я]+', three[0]) and "Иванова" not in three[0] and "04db" not in three[0]
     assert got[4] == {("plain 2024 text, 1.5 and 12", 0)} and got[5] == {(None, 0)} and got[6] == {("", 0)}
-    assert pii.replace_pii(frame(spark, [])).count() == 0
+    assert pii.replace_pii(frame(spark, []), "k").count() == 0
 
 
 def test_each_pattern_alone_is_replaced(spark):
@@ -340,13 +340,13 @@ def test_each_pattern_alone_is_replaced(spark):
     }
     assert alone.keys() == pii.PATTERNS.keys()
     texts = [f"so we saw {e} there" for v in alone.values() for e in v]
-    got = {r.r.doc_id: r for r in pii.replace_pii(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    got = {r.r.doc_id: r for r in pii.replace_pii(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), "k").collect()}
     assert [t for i, t in enumerate(texts) if got[i].n_replaced != 1 or got[i].new_text == t] == []
 
 
 def test_surrogates_in_very_long_texts(spark):
     rows = [(1, "x@" + "a." * 100_000 + "com", "a"), (2, "bob@a.b.example.com", "a"), (3, "token=" + "a1" * 20_000, "a"), (4, "1.2 " * 50_000 + "10.0.0.1", "b")]
-    got = {r.r.doc_id: r for r in pii.replace_pii(frame(spark, rows)).collect()}
+    got = {r.r.doc_id: r for r in pii.replace_pii(frame(spark, rows), "k").collect()}
     assert {i: len(got[i].new_text) for i in (1, 2, 3)} == {i: len(t) for i, t, _ in rows[:3]}
     assert got[2].new_text.endswith(".com") and got[2].new_text != rows[1][1] and got[4].n_replaced == 1
 
@@ -371,9 +371,52 @@ def test_surrogates_where_the_layout_has_too_few(spark):
     for r in got:
         assert r.surrogate.startswith({"name": "Mr. ", "phone": "+7 ", "email": "", "secret": r.entity}[r.kind])
         assert r.kind != "email" or re.fullmatch(r"[a-z]\d*@[a-z]\.org", r.surrogate)
-    address = spark.createDataFrame([("10.0.0.1", "ip"), ("4111 1111 1111 1111", "card"), ("Herr Ωμέγα", "name")], "entity string, kind string")
-    wide = {r.kind: r.s for r in address.select("kind", pii.surrogate(F.col("kind"), F.col("entity"), F.lit(pii.NARROW), "k").alias("s")).collect()}
-    assert ipaddress.ip_address(wide["ip"]).version == 6 and len(wide["card"]) == 20 and re.fullmatch(r"Herr [Α-Ω][α-ω]{5}", wide["name"])
+    address = spark.createDataFrame([("10.0.0.1", "ip"), ("4111111111111111", "card"), ("Ωμέγα", "surname")], "part string, cls string")
+    wide = {r.cls: r.s for r in address.select("cls", pii.draw(F.col("cls"), F.col("part"), F.lit(pii.NARROW), F.sha2("part", 512)).alias("s")).collect()}
+    assert ipaddress.ip_address(wide["ip"]).version == 6 and len(wide["card"]) == 17 and re.fullmatch(r"[Α-Ω][α-ω]{5}", wide["surname"])
+
+
+def test_surrogates_agree_between_entities(spark):
+    """Surnames with and without a given name, case variants, layouts of one number; many surnames, so that some draw again."""
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    names = [f"Mr. X{letters(i)}" for i in range(3000)]
+    texts = [(i, f"{n} met {n[:4]}John {n[4:]} and Mrs. {n[4:].upper()}", "a") for i, n in enumerate(names)]
+    texts += [(9000, "a.b@corp.org A.B@corp.org c@CORP.org", "a"), (9001, "+1 (017) 555-7713 or +1 017 555 7713, 4111 1111 1111 1111 or 4111111111111111", "a")]
+    got = {r.r.doc_id: r.new_text for r in pii.replace_pii(frame(spark, texts), "k").collect()}
+    surnames = set()
+    for i in range(3000):
+        m = re.fullmatch(r"Mr\. (\w+) met Mr\. (\w+) (\w+) and Mrs\. (\w+)", got[i])
+        assert m and m[1] == m[3] and m[1].upper() == m[4]
+        surnames.add(m[1])
+    assert len(surnames) == 3000
+    one, two, three = got[9000].split()
+    assert one != "a.b@corp.org" and two.split("@")[0] == one.split("@")[0].upper() and two.split("@")[1] == one.split("@")[1] and three.split("@")[1] == one.split("@")[1].replace(one.split("@")[1][:4], one.split("@")[1][:4].upper())
+    phones, cards = got[9001].split(", ")
+    digits = lambda s: ["".join(c for c in x if c.isdigit()) for x in s.split(" or ")]
+    assert len(set(digits(phones))) == len(set(digits(cards))) == 1 and "017" not in phones and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4} or \d{16}", cards)
+    with pytest.raises(ValueError):
+        pii.replace_pii(frame(spark, []), "")
+
+
+def test_surrogates_match_plain_replacement(spark):
+    """Brute force: each entity that the patterns find is replaced at its place by its one surrogate, and nothing else is."""
+    import regex
+
+    rows = [(i, t, "a") for i, t in enumerate(["x a.b@c.org, Mr. Smith; a.b@c.org", "Frau Berg # 10.1.1.1 # c@d.org", "nothing at all 12", "10.1.1.1", "token=abcdefghijklmno."])]
+    got = {r.r.doc_id: r for r in pii.replace_pii(frame(spark, rows), "k").collect()}
+    pattern, mapping = regex.compile(pii.ALL.replace(r"\p{IsLatin}", r"\p{Latin}")), {}
+    for i, t, _ in rows:
+        found, at, new = [m for m in pattern.finditer(t)], 0, got[i].new_text
+        assert got[i].n_replaced == len(found)
+        for n, m in enumerate(found):
+            gap = t[found[n - 1].end() if n else 0 : m.start()]
+            assert new[at : at + len(gap)] == gap
+            at += len(gap)
+            tail = t[m.end() : found[n + 1].start() if n + 1 < len(found) else len(t)]
+            end = new.index(tail, at) if n + 1 < len(found) and tail else len(new) - len(tail)
+            assert mapping.setdefault(m.group(), new[at:end]) == new[at:end] != m.group()
+            at = end
+    assert len(set(mapping.values())) == len(mapping) == 6
 
 
 def test_license_scan(spark, words):
