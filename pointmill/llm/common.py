@@ -41,8 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own, else (tests, one machine) a new one."""
+    """The folder that driver and executors share: the session's own, else, on one machine only, a new one."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="pointmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -167,19 +169,18 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Labels (id, label) of all ids on edges: label is the smallest id reachable.
 
     Each round links every node's larger neighbours to its smallest one (large star), then its smaller
     neighbours to the smallest (small star), until edges form stars. Rounds are written to the shared
     folder; nothing is collected but a count.
     """
-    spark = edges.sparkSession
     e = staged(
         edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct()
     )
     before = None
-    for _ in range(limit):
+    while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         m = both.groupBy("u").agg(F.min("v").alias("m0")).select(F.col("u").alias("mu"), F.least("u", "m0").alias("m"))
         large = both.where("v > u").join(m, F.col("u") == F.col("mu")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -193,7 +194,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", limit: in
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("connected components did not converge")
     own = e.select(F.col("lo").alias("id")).distinct().select("id", F.col("id").alias("label"))
-    return e.select(F.col("hi").alias("id"), F.col("lo").alias("label")).union(own) if spark else own
+    return e.select(F.col("hi").alias("id"), F.col("lo").alias("label")).union(own)
