@@ -153,7 +153,7 @@ def _windows(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 
 def edges(windows: DataFrame) -> DataFrame:
-    """(w1, w2, source, prev1, prev2, next1, next2): the edges that stand in two documents or more.
+    """(w1, w2, source, held, prev1, prev2, next1, next2): the edges that stand in two documents or more, and how often.
 
     prev and next are the only edge before and after it, null where there are several or where a local
     path begins or ends there; source is the smallest document."""
@@ -173,11 +173,11 @@ def edges(windows: DataFrame) -> DataFrame:
         return [F.when(F.expr(sure), F.col(f"lo_{side}{w}")) for w in ("w1", "w2")]
 
     (p1, p2), (n1, n2) = only("b"), only("a")
-    return g.select("w1", "w2", "source", p1.alias("prev1"), p2.alias("prev2"), n1.alias("next1"), n2.alias("next2"))
+    return g.select("w1", "w2", "source", F.col("n").alias("held"), p1.alias("prev1"), p2.alias("prev2"), n1.alias("next1"), n2.alias("next2"))
 
 
 def compact(graph: DataFrame) -> DataFrame:
-    """(w1, w2, source, n): the heads of the nonbranching paths of a staged edge table, and their numbers of edges.
+    """(w1, w2, source, held, n): the heads of the nonbranching paths of a staged edge table, and their numbers of edges.
 
     Every local path begins with an edge that nothing is sure to come before, so no path is a ring."""
     before = graph.select(F.col("w1").alias("up1"), F.col("w2").alias("up2"), F.col("next1").alias("x1"), F.col("next2").alias("x2"))
@@ -193,9 +193,9 @@ def compact(graph: DataFrame) -> DataFrame:
         discard(last)
         if links.where("moved").isEmpty():
             break
-    heads = graph.join(links, ["w1", "w2"], "left_anti").select("w1", "w2", "source")
+    heads = graph.join(links, ["w1", "w2"], "left_anti").select("w1", "w2", "source", "held")
     longest = links.groupBy(F.col("up1").alias("w1"), F.col("up2").alias("w2")).agg(F.max("far").alias("far"))
-    return heads.join(longest, ["w1", "w2"], "left").select("w1", "w2", "source", (F.coalesce("far", F.lit(0)) + 1).alias("n"))
+    return heads.join(longest, ["w1", "w2"], "left").select("w1", "w2", "source", "held", (F.coalesce("far", F.lit(0)) + 1).alias("n"))
 
 
 def repeated_paths(rows: DataFrame, span: int) -> DataFrame:
@@ -214,9 +214,10 @@ def repeated_paths(rows: DataFrame, span: int) -> DataFrame:
     heads = staged(compact(graph))
     place = windows.select("p1", "p2", "doc", "mark", "start", F.posexplode(F.arrays_zip(F.col("w1").alias("x"), F.col("w2").alias("y"))).alias("i", "e"))
     place = place.select("p1", "p2", "doc", "mark", "start", "i", F.col("e.x").alias("w1"), F.col("e.y").alias("w2"))
-    place = staged(place.join(heads, ["w1", "w2"]))
-    origin = place.where("doc = source").groupBy("w1", "w2").agg(F.min(F.struct("mark", (F.col("start") + F.col("i")).alias("sstart"))).alias("o"))
-    split = place.join(origin, ["w1", "w2"]).groupBy("p1", "p2").agg(F.collect_set(F.struct("i", "n", F.col("source").alias("sdoc"), F.col("o.mark").alias("smark"), F.col("o.sstart").alias("sstart"))).alias("split"))
+    # an edge of a passage that very many documents share stands in very many local paths
+    place = staged(join_skewed(place, heads.withColumn("times", F.col("held")), ["w1", "w2"], "held"))
+    origin = place.where("doc = source").groupBy("w1", "w2").agg(F.min(F.struct("mark", (F.col("start") + F.col("i")).alias("sstart"))).alias("o"), F.max("times").alias("held"))
+    split = join_skewed(place, staged(origin), ["w1", "w2"], "held").groupBy("p1", "p2").agg(F.collect_set(F.struct("i", "n", F.col("source").alias("sdoc"), F.col("o.mark").alias("smark"), F.col("o.sstart").alias("sstart"))).alias("split"))
     own = F.struct(F.lit(0).alias("i"), "n", F.col("doc").alias("sdoc"), F.col("mark").alias("smark"), F.col("start").alias("sstart"))
     known = distinct.join(split, ["p1", "p2"], "left").where("doc < last or split is not null")
     known = staged(known.select("p1", "p2", "held", F.col("doc").alias("first"), own.alias("own"), "split"))

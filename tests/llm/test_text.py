@@ -162,9 +162,9 @@ def test_spans_of_many_contexts(spark, words):
 
 def test_compact_by_pointer_jumping(spark):
     """A path of 37 edges, a fork of two at its end."""
-    line = [(i, i, 0, *((i - 1,) * 2 if i else (None,) * 2), *((i + 1,) * 2 if i < 36 else (None,) * 2)) for i in range(37)]
-    fork = [(k, k, 1, 36, 36, None, None) for k in (50, 60)]
-    g = spark.createDataFrame(line + fork, "w1 long, w2 long, source long, prev1 long, prev2 long, next1 long, next2 long")
+    line = [(i, i, 0, 1, *((i - 1,) * 2 if i else (None,) * 2), *((i + 1,) * 2 if i < 36 else (None,) * 2)) for i in range(37)]
+    fork = [(k, k, 1, 1, 36, 36, None, None) for k in (50, 60)]
+    g = spark.createDataFrame(line + fork, "w1 long, w2 long, source long, held long, prev1 long, prev2 long, next1 long, next2 long")
     assert {(r.w1, r.source, r.n) for r in spans.compact(g).collect()} == {(0, 0, 37), (50, 1, 1), (60, 1, 1)}
 
 
