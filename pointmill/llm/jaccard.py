@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import WordHashes, bounded, connected_components, map_arrow, mix, shingles, signed, staged
+from pointmill.llm.common import WordHashes, bounded, connected_components, join_skewed, map_arrow, mix, shingles, signed, staged
 
 #: N-grams whose hash is below this share of all take part in the tests of steps 2 and 4.
 SAMPLED = 0.3
@@ -234,7 +234,8 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id), one row per row of docs.
 
     component_id is the smallest doc_id reachable by links, itself included. Null and wordless texts have
-    an empty set and link with nothing, not even with each other; a null doc_id among equal sets takes
+    an empty set and link with nothing, not even with each other; texts of any length are read whole;
+    columns of any other name are left out; a null doc_id among equal sets takes
     their component, alone it stays null. Rows that repeat a doc_id count as documents of their own, and
     share a component only if their sets are linked. An empty table gives no rows.
     """
@@ -255,10 +256,9 @@ def _components(docs: DataFrame, key: str, text: str, percent: int = 80, k: int
 
     # step 3: groups around a leader, for each of the keys
     posted = sets.select("cls", F.posexplode("keys").alias("j", "key"))
-    leaders = posted.groupBy("j", "key").agg(F.min("cls").alias("g"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    dealt = posted.join(leaders, ["j", "key"]).select("g", "cls").where("g <> cls").distinct()
-    sizes = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("m")).select("g", F.ceil(F.col("m") / group_rows).cast("int").alias("parts"))
-    parts = dealt.join(sizes, "g").select("g", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls")
+    leaders = staged(posted.groupBy("j", "key").agg(F.min("cls").alias("g"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    dealt = staged(join_skewed(posted, leaders, ["j", "key"], "m").select("g", "cls").where("g <> cls").distinct())
+    sizes, parts = _parts(dealt, group_rows)
     heads = sizes.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("cls"))
     plain = sets.select("cls", F.col("cls").alias("label"), "grams")
     links = staged(_links(parts.union(heads).join(plain, "cls"), percent))
@@ -286,9 +286,9 @@ def _components(docs: DataFrame, key: str, text: str, percent: int = 80, k: int
     x, y = prefix.alias("x"), prefix.alias("y")
     enough = f"least(x.n - x.pos, y.n - y.pos) * {100 + percent} >= {percent} * (x.n + y.n)"
     pairs = x.join(y, F.expr(f"x.gram = y.gram and x.label <> y.label and x.cls < y.cls and {enough}"))
-    pairs = pairs.select(F.col("x.cls").alias("g"), F.col("y.cls").alias("cls")).distinct()
-    met = staged(pairs.select("g", F.pmod(F.xxhash64("cls"), F.lit(16)).cast("int").alias("part"), "cls"))
-    heads = met.select("g", "part", F.col("g").alias("cls")).distinct()
+    pairs = staged(pairs.select(F.col("x.cls").alias("g"), F.col("y.cls").alias("cls")).distinct())
+    sizes, met = _parts(pairs, group_rows)
+    heads = sizes.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("cls"))
     late = staged(_links(met.union(heads).join(rest.select("cls", "label", "grams"), "cls"), percent))
     final = connected_components(links.union(late))
     final = final.withColumnRenamed("id", "cls")
@@ -298,6 +298,14 @@ def _components(docs: DataFrame, key: str, text: str, percent: int = 80, k: int
     return out.select("doc_id", "n_shingles", "mark", "low", F.coalesce("low.doc_id", "doc_id").alias("component_id"))
 
 
+def _parts(dealt: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(g, m, parts) and (g, part, cls): the members of each group of staged (g, cls), in parts of about so many rows."""
+    sizes = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    sizes = staged(sizes.withColumn("parts", F.ceil(F.col("m") / F.lit(rows)).cast("int")))
+    met = join_skewed(dealt, sizes, ["g"], "m")
+    return sizes, met.select("g", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls")
+
+
 def _prefix(n: str, percent: int):
     return F.expr(f"{n} - floor(({n} * {percent} + 99) / 100) + 1")
 
