@@ -80,7 +80,7 @@ def _compare(t: pa.Table, threshold: float) -> pa.Table:
     ids, block, role = t.column("id").to_numpy(), t.column("block").to_numpy(), t.column("role").to_numpy()
     m = t.column("many").to_numpy()
     wide = lambda c: np.array(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
-    x, best, probe = wide("v"), wide("best"), wide("probe")
+    x, best, probe = wide("v").astype(float), wide("best"), wide("probe")
     x = x / np.sqrt((x * x).sum(1, keepdims=True))
     left = np.flatnonzero(block == one)
     right = np.flatnonzero(block == two)
@@ -121,9 +121,12 @@ def link_vectors(
     are null, empty, zero or hold null or non-finite components link with nothing; only vectors of equal
     length link. component_id is the smallest id reachable, itself included. Rows with a null id take no
     part and come back with 0 links. Rows that repeat an id and a vector count as two vectors, linked.
+    Columns of any other name are left out; an empty table gives no rows.
     """
     ship(vectors.sparkSession)
-    base = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    # components travel as they are stored; they are compared in double precision
+    kind = "float" if dict(vectors.dtypes)[column] == "array<float>" else "double"
+    base = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{column}`").cast(f"array<{kind}>").alias("v"))
     ok = base.where(usable("v") & F.col("id").isNotNull())
     one = staged(ok.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many")))
     n = one.count()
@@ -137,13 +140,13 @@ def link_vectors(
         length = np.array([len(r) for r in rows])
         for d in np.unique(length):
             at = np.flatnonzero(length == d)
-            x = np.array([rows[i] for i in at])
+            x = np.array([rows[i] for i in at], float)
             scale = np.abs(x).max(1, keepdims=True)
             best[at], probe[at] = hasher.codes(x / scale / np.sqrt(((x / scale) ** 2).sum(1, keepdims=True)))
         wide = lambda a: pa.array(list(a), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("id"), v, batch.column("many"), wide(best), wide(probe)], names=["id", "v", "many", "best", "probe"])
 
-    h = staged(map_arrow(one.select("id", "v", "many"), hashed, "id long, v array<double>, many long, best array<long>, probe array<long>"))
+    h = staged(map_arrow(one.select("id", "v", "many"), hashed, f"id long, v array<{kind}>, many long, best array<long>, probe array<long>"))
     entry = h.select("id", F.size("v").alias("d"), F.explode(F.flatten(F.array(
         F.transform("best", lambda k, t: F.struct(t.alias("t"), k.alias("bucket"), F.lit(0).alias("role"))),
         F.transform("probe", lambda k, t: F.struct(t.alias("t"), k.alias("bucket"), F.lit(1).alias("role"))),
