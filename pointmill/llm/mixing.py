@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 def systematic_mix(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
-    weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", blocks: int = 64, size: str | None = None,
+    weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", blocks: int = 1024, size: str | None = None,
 ) -> DataFrame:
     """docs as struct `r`, with size, source_size, target and copies (how often the mix takes the row).
 
@@ -47,7 +47,7 @@ def systematic_mix(
 
     size: a column that holds the sizes, so that they aren't counted from texts.
 
-    Null texts and texts without words have size 0 and can be taken; a null source is a source; null
+    Null texts and texts without words have size 0 and can be taken; texts of any length are counted whole; a null source is a source; null
     keys share a block; equal rows are taken apart. An empty table gives no rows. Extra columns of any
     name stay inside `r`.
     """

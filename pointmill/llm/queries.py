@@ -81,7 +81,7 @@ with d as (
   select source, source_size, least(full_, w * (select rate from r where rate * w <= full_ order by full_ / w, source nulls last limit 1)) as target from r
 ), k as (
   select d.*, t.source_size, t.target, coalesce('s' || d.source, 'n') as src,
-    row_number() over (partition by d.source order by floor(log2(d.size + 1.0) * 4), coalesce(('0x' || substr(md5(d.doc_id::varchar), 1, 4))::int % 64, 0), d.size, d.doc_id) as k
+    row_number() over (partition by d.source order by floor(log2(d.size + 1.0) * 4), coalesce(('0x' || substr(md5(d.doc_id::varchar), 1, 4))::int % 1024, 0), d.size, d.doc_id) as k
   from d join t on d.source is not distinct from t.source
 ), c as (
   select *, case when source_size > 0 then target / source_size else 0 end as rate, ('0x' || substr(md5('mix:' || src), 1, 4))::int / 65536.0::double as offset_ from k
