@@ -16,7 +16,7 @@ SPARK_TYPES: dict[str, T.DataType] = {
 #: Types whose differences wrap, and their modulus.
 UNSIGNED = {"bool": 2**8, "u32": 2**32, "u64": 2**64}
 RANGES = {"u32": (0, 2**32 - 1), "u64": (0, 2**64 - 1)}
-LARGEST = {"bool": 255, "u32": 2**32 - 1, "u64": 2**64 - 1, "f32": float("inf"), "f64": float("inf"), "i32": 2**31 - 1, "i64": 2**63 - 1}
+LARGEST = {"bool": 1, "u32": 2**32 - 1, "u64": 2**64 - 1, "f32": float("inf"), "f64": float("inf"), "i32": 2**31 - 1, "i64": 2**63 - 1}
 SMALLEST = {"bool": 0, "u32": 0, "u64": 0, "f32": float("-inf"), "f64": float("-inf"), "i32": -(2**31), "i64": -(2**63)}
 MOST_FIELDS, LONGEST_NAME = 64, 123
 

@@ -97,8 +97,8 @@ _add("window_leading_partial", f"with {P}, {_windows('p', WIDE, OFF, T1)} select
     lambda s, d: rounded(windows.window_agg(events(s, d), ["value"], OFF, T1, WIDE), "value_sum", "value_mean"))
 _add("window_dense_gaps", f"with {N}, {_windows('n', HOUR // 2, T0, T0 + 60 * HOUR)} select series, window_ns, {_ALL} from w")(
     lambda s, d: rounded(windows.window_agg(nulls(events(s, d)), ["value"], T0, T0 + 60 * HOUR, HOUR // 2), "value_sum", "value_mean"))
-_add("window_sentinels", f"with {N}, {_windows('n', HOUR // 2, T0, T0 + 60 * HOUR)} select series, window_ns, coalesce(lo, 'inf'::double) as value_min, coalesce(hi, '-inf'::double) as value_max from w")(
-    lambda s, d: windows.window_agg(nulls(events(s, d)), ["value"], T0, T0 + 60 * HOUR, HOUR // 2, sentinels=True).select("series", "window_ns", "value_min", "value_max"))
+_add("window_sentinels", f"with {N}, {_windows('n', HOUR // 2, None, None)} select series, window_ns, coalesce(lo, 'inf'::double) as value_min, coalesce(hi, '-inf'::double) as value_max from w")(
+    lambda s, d: windows.window_agg(nulls(events(s, d)), ["value"], window_ns=HOUR // 2, sentinels=True).select("series", "window_ns", "value_min", "value_max"))
 _add("sum_compute", f"with {N}, {_windows('n', WIDE, None, None, '2 * value + 1')} select series, window_ns, round(s, 6) as sum, lo as min, hi as max, n, round(m, 6) as mean from w")(
     lambda s, d: rounded(windows.window_compute(nulls(events(s, d)), "2 * value + 1", window_ns=WIDE), "sum", "mean"))
 
@@ -134,11 +134,12 @@ for _name, _formula, _sql in (
     ("compute_pow", "pow(value, 0.5) + exp(-value)", "pow(value, 0.5) + exp(-value)"),
     ("compute_const", "pi() * e()", "pi() * exp(1.0)"),
     ("compute_null", "value + 1", "value + 1"),
+    ("compute_unary_plus", "+value * -(+2)", "value * -2"),
 ):
     def _formula_query(s: SparkSession, d: str, f: str = _formula) -> DataFrame:
-        return rounded(scan.compute(nulls(events(s, d, T0, T0 + 48 * HOUR)), f), "value", to=9)
+        return rounded(scan.compute(nulls(events(s, d)), f), "value", to=9)
 
-    _add(_name, f"with {N} select series, time_ns, round({_sql}, 9) as value from n where time_ns between {T0} and {T0 + 48 * HOUR}")(_formula_query)
+    _add(_name, f"with {N} select series, time_ns, round({_sql}, 9) as value from n")(_formula_query)
 
 _IEEE = "case when value > 100 then 'inf'::double when value > 50 then '-inf'::double else 'nan'::double end"
 _add("compute_div_zero", f"with {P} select series, time_ns, case when value > 50 then '+inf' else 'log' end as kind, {_IEEE} is not null as known from p")(
@@ -201,7 +202,10 @@ _add("dashboard_alias", f"with {P} select 'type ' || series || '!' as name, time
 def _client(s: SparkSession) -> Client:
     from tempfile import mkdtemp
 
-    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="pointmill-store-")
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or mkdtemp(prefix="pointmill-store-")
     c = Client(s, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
     c.create_database("db")
     c.create_measurement("db", "events", "value/f64")
@@ -264,3 +268,90 @@ _add("command_text_mean", f"with {P}, c as (select * from p where series = 'clic
     lambda s, d: rounded(run_command(_stored(s, d), f"mean value from db/events/click where {T0} <= time_ns <= {T1} window_ns {WIDE}"), "value_mean"))
 _add("command_text_select", f"with {P} select * from p where series = 'view' and time_ns < {T1} order by time_ns desc limit 7")(
     lambda s, d: run_command(_stored(s, d), f"SELECT value FROM db/events/view WHERE time_ns < {T1} LAST 7"))
+
+
+def _error(f: Callable[[], object]) -> str | None:
+    try:
+        f()
+    except EngineError as e:
+        return e.name
+    return None
+
+
+def _named(s: SparkSession, name: str | None) -> DataFrame:
+    return s.range(1).select(F.lit(name).alias("error"))
+
+
+_add("unknown_function", "select 'UNEXPECTED_TOKEN' as error")(lambda s, d: _named(s, _error(lambda: scan.compute(events(s, d), "tan(value)"))))
+_add("no_such_series", "select 'NO_SUCH_SERIES' as error")(lambda s, d: _named(s, _error(lambda: _stored(s, d).select_points("db", "events", "clack"))))
+_add("command_text_active", f"with {P} select distinct series from p where time_ns <= {T0 + HOUR}")(
+    lambda s, d: run_command(_stored(s, d), f"LIST ACTIVE SERIES FROM db/events WHERE time_ns <= {T0 + HOUR}"))
+_add("list_stored_series", f"with {P} select distinct series from p")(lambda s, d: _emptied(s, d).list_series("db", "events"))
+
+
+def _emptied(s: SparkSession, d: str) -> Client:
+    """All clicks deleted: the series stays."""
+    c = _stored(s, d)
+    c.delete_points("db", "events", "click", T1 * 2)
+    return c
+
+
+@_add("command_text_delete", f"with {P} select * from p where series <> 'view' or time_ns >= {T1}")
+def _command_text_delete(s: SparkSession, d: str) -> DataFrame:
+    c = _stored(s, d)
+    run_command(c, f"DELETE FROM db/events/view WHERE time_ns < {T1}")
+    return c.store.points("db", "events")
+
+
+@_add("count_tiers", f"with {P}, r as (select *, row_number() over (partition by series order by time_ns desc) k from p) select series, count(*) filter (k > 3) as committed, count(*) filter (k <= 3) as tail from r group by series")
+def _count_tiers(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    late = scan.select_last(e, n=3)
+    c = _stored(s, d, e.join(late.select("series", "time_ns"), ["series", "time_ns"], "left_anti"), late)
+    return c.count_committed_points("db", "events").withColumnRenamed("npoints", "committed").join(c.count_tail_points("db", "events").withColumnRenamed("npoints", "tail"), "series")
+
+
+@_add("late_points_refused", f"with {P} select 'TIMESTAMP_OVERWRITE_MISMATCH' as error, count(*) as npoints from p where time_ns > {T0}")
+def _late_points_refused(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    c = _stored(s, d, e.where(F.col("time_ns") > T0))
+    error = _error(lambda: c.store.append("db", "events", e.where(F.col("time_ns") <= T0)))
+    return c.store.points("db", "events").agg(F.count(F.lit(1)).alias("npoints")).select(F.lit(error).alias("error"), "npoints")
+
+
+@_add("snapshot_read", f"with {P} select * from p where time_ns <= {T1}")
+def _snapshot_read(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    c = _stored(s, d, e.where(F.col("time_ns") <= T1))
+    before = c.store.points("db", "events")
+    c.store.append("db", "events", e.where(F.col("time_ns") > T1))
+    c.delete_points("db", "events", "click", T0)
+    return before
+
+
+@_add("store_and_forward", f"with {P} select * from p")
+def _store_and_forward(s: SparkSession, d: str) -> DataFrame:
+    """The remote database comes late: what was kept is sent then, and deleted here."""
+    from pointmill.streaming.ingest import Reflector
+
+    e, local, remote = events(s, d), _client(s), _client(s)
+    r = Reflector(local.store, remote.store, {"db": "later"})
+    r.write("db", "events", e.where(F.col("time_ns") <= T0))
+    remote.create_database("later")
+    remote.create_measurement("later", "events", "value/f64")
+    r.write("db", "events", e.where(F.col("time_ns") > T0))
+    r.flush("db", "events")
+    return remote.store.points("later", "events").unionByName(local.store.points("db", "events"))
+
+
+@_add("push_queue", f"with {P}, r as (select *, row_number() over (order by time_ns, value) k from p where series = 'click') select series, time_ns, value from r where k <= 20")
+def _push_queue(s: SparkSession, d: str) -> DataFrame:
+    """A producer's points, by the write call, in lots of at most 8 and a last one."""
+    from pointmill.streaming.ingest import PushQueue
+
+    c = _client(s)
+    q = PushQueue(lambda points: c.write_points("db", "events", "click", points), most=8)
+    for r in events(s, d).where("series = 'click'").orderBy("time_ns", "value").limit(20).collect():
+        q.append({"time_ns": r.time_ns, "value": r.value})
+    q.flush()
+    return c.store.points("db", "events")

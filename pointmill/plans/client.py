@@ -35,7 +35,7 @@ class Client:
         return self.spark.createDataFrame(rows, "position int, name string, type string")
 
     def list_series(self, db: str, measurement: str) -> DataFrame:
-        return scan.list_series(self.store.points(db, measurement))
+        return self.store.series(db, measurement).orderBy("series")
 
     def list_active_series(self, db: str, measurement: str, t0=None, t1=None) -> DataFrame:
         return scan.active_series(self.store.points(db, measurement), t0, t1)
@@ -49,6 +49,7 @@ class Client:
     # points
 
     def _series(self, db: str, measurement: str, series: str) -> DataFrame:
+        self.store.need_series(db, measurement, series)
         return self.store.points(db, measurement).where(F.col("series") == series)
 
     def write_points(self, db: str, measurement: str, series: str, points: list[dict] | DataFrame) -> int:
@@ -70,10 +71,10 @@ class Client:
         self.store.delete_until(db, measurement, series, t)
 
     def select_points(self, db, measurement, series, fields=("*",), t0=None, t1=None, n: int | None = None) -> DataFrame:
-        return scan.select_series(self.store.points(db, measurement), series, fields, t0, t1, first=n)
+        return scan.select_series(self._series(db, measurement, series), series, fields, t0, t1, first=n)
 
     def select_last_points(self, db, measurement, series, fields=("*",), t0=None, t1=None, n: int = 1) -> DataFrame:
-        return scan.select_series(self.store.points(db, measurement), series, fields, t0, t1, last=n)
+        return scan.select_series(self._series(db, measurement, series), series, fields, t0, t1, last=n)
 
     def compute_points(self, db, measurement, series, formula: str, t0=None, t1=None, n: int | None = None) -> DataFrame:
         return scan.compute(self._series(db, measurement, series), formula, t0, t1, first=n).orderBy("time_ns")
@@ -85,6 +86,14 @@ class Client:
         one = self.spark.createDataFrame([(series,)], "series string")
         return scan.count_points(self._series(db, measurement, series), t0, t1, one)
 
+    def count_committed_points(self, db: str, measurement: str) -> DataFrame:
+        """(series, npoints) in the base alone."""
+        return self.store.count(db, measurement, ("base",))
+
+    def count_tail_points(self, db: str, measurement: str) -> DataFrame:
+        """(series, npoints) that are not committed to the base yet."""
+        return self.store.count(db, measurement, ("tail",))
+
     def sum_points(self, db, measurement, series, fields=("*",), t0=None, t1=None, window_ns: int = 10**9) -> DataFrame:
         return windows.window_agg(self._series(db, measurement, series), fields, t0, t1, window_ns).orderBy("window_ns")
 
@@ -94,10 +103,11 @@ class Client:
     def integrate_points(self, db, measurement, series, fields=("*",), t0=None, t1=None) -> DataFrame:
         return integral.integrate(self._series(db, measurement, series), fields, t0, t1)
 
-    def get_all_points_mean(self, db, measurement, fields=("*",), t0=None, t1=None, window_ns: int = 10**9) -> DataFrame:
-        """Window means of all series in one plan."""
+    def get_all_points_mean(self, db, measurement, fields=("*",), t0=None, t1=None, window_ns: int = 10**9, series: str | None = None) -> DataFrame:
+        """Window means of all series, or of one, in one plan."""
         names = self.store.schema(db, measurement).resolve(fields)
-        w = windows.window_agg(self.store.points(db, measurement), fields, t0, t1, window_ns)
+        points = self.store.points(db, measurement) if series is None else self._series(db, measurement, series)
+        w = windows.window_agg(points, fields, t0, t1, window_ns)
         return w.select("series", "window_ns", *[F.col(f"`{n}_mean`") for n in names])
 
 

@@ -1,10 +1,12 @@
 """An append-only store of measurements on Parquet, with validated appends and front deletion.
 
 Layout below the root: databases/<db>/<measurement>/ holds schema.json, manifest-<n>.json and data
-folders. A manifest names the folders that are live: `base`, compacted and sorted by time, `tail`, recent
-appends, and `deletes`, watermarks. The newest manifest is the state; creating its file, which fails if
-it exists, is the commit. A frame read from a manifest is a snapshot. One writer per measurement is
-assumed; a second one fails at the commit instead of overwriting.
+folders. A manifest names the folders that are live: `base`, sorted by time, `tail`, recent small appends,
+`deletes`, watermarks, and `state`, a row per series with its newest time stamp, from which appends are
+checked without a look at stored points. The newest manifest is the state of the measurement; giving its
+file, already written, its name, which fails if the name is taken, is the commit. A frame read from a
+manifest is a snapshot. One writer per measurement is assumed; a second one fails at the commit instead of
+overwriting. A tail that has grown is committed to the base by the append that finds it so.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ _SUFFIX = {"": 1, "K": 2**10, "M": 2**20, "G": 2**30, "T": 2**40}
 @dataclass(frozen=True)
 class StoreOptions:
     """chunk_size in bytes of 8-byte time stamps (a power of two, 128 or more) sets rows per file;
-    wal_max_entries is the largest append that goes to the tail; write_throttle_ns spaces stream triggers."""
+    wal_max_entries is the largest append that goes to the tail, and how many points or, a sixteenth of it,
+    folders the tail holds before it is committed; write_throttle_ns spaces stream triggers."""
 
     chunk_size: int = 2 * 2**20
     wal_max_entries: int = 128
@@ -71,14 +74,19 @@ class Store:
             f.close()
 
     def _create(self, p: str, what: dict, error: str) -> None:
-        try:
-            f = self._fs.create(self._path(p), False)
-        except Exception as e:
-            raise EngineError(error, p) from e
+        """A file that is there whole or not at all: written under another name, then renamed, which fails if p exists."""
+        hadoop, written = self._jvm.org.apache.hadoop.fs, self._path(f"{p}.{uuid.uuid4().hex}.new")
+        f = self._fs.create(written, False)
         try:
             f.write(bytearray(json.dumps(what).encode()))
         finally:
             f.close()
+        files = hadoop.FileContext.getFileContext(written.toUri() if "://" in p else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._fs.makeQualified(written), self._fs.makeQualified(self._path(p)), self.spark._sc._gateway.new_array(hadoop.Options.Rename, 0))
+        except Exception as e:
+            self._fs.delete(written, False)
+            raise EngineError(error, p) from e
 
     def _names(self, p: str) -> list[str]:
         if not self._fs.exists(self._path(p)):
@@ -134,7 +142,7 @@ class Store:
         p = self._measurement(db, measurement)
         numbers = [int(m[1]) for x in self._names(p) if (m := re.fullmatch(r"manifest-(\d+)\.json", x))]
         if not numbers:
-            return 0, {"base": [], "tail": [], "deletes": []}
+            return 0, {"base": [], "tail": [], "deletes": [], "state": []}
         return max(numbers), self._read(f"{p}/manifest-{max(numbers)}.json")
 
     def _commit(self, db: str, measurement: str, after: int, manifest: dict) -> None:
@@ -147,21 +155,32 @@ class Store:
 
     def _load(self, db: str, measurement: str, manifest: dict, tiers: tuple[str, ...] = ("base", "tail")) -> DataFrame:
         schema, p = self.schema(db, measurement), self._measurement(db, measurement)
-        frames = []
-        for tier in tiers:
-            if manifest[tier]:
-                stored = self.spark.read.schema(schema.struct()).option("basePath", p).option("recursiveFileLookup", "false")
-                frames += [stored.option("basePath", f"{p}/{x}").parquet(f"{p}/{x}") for x in manifest[tier]]
-        columns = [f.name for f in schema.struct()]
-        out = None
-        for f in frames:
-            f = f.select(*[F.col(f"`{c}`") for c in columns])
-            out = f if out is None else out.unionByName(f)
-        if out is None:
-            out = self.spark.createDataFrame([], schema.struct())
+        folders = [f"{p}/{x}" for tier in tiers for x in manifest[tier]]
+        # one scan over all folders: their names are partition values, like the series below them
+        out = self.spark.read.schema(schema.struct()).option("basePath", p).parquet(*folders) if folders else self.spark.createDataFrame([], schema.struct())
         # names of the seven kinds are lost in files; put them back
         return out.select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) if f.metadata else F.col(f.name) for f in schema.struct()])
 
+    def _state(self, db: str, measurement: str, manifest: dict) -> DataFrame:
+        """(series, newest): every series ever written, with its newest time stamp, deleted or not."""
+        if not manifest["state"]:
+            return self.spark.createDataFrame([], "series string, newest long")
+        p = self._measurement(db, measurement)
+        return self.spark.read.schema("series string, newest long").parquet(*[f"{p}/{x}" for x in manifest["state"]])
+
+    def series(self, db: str, measurement: str) -> DataFrame:
+        """Names of all series, those too whose points are all deleted, without a look at points."""
+        self.schema(db, measurement)
+        return self._state(db, measurement, self._manifest(db, measurement)[1]).select("series")
+
+    def need_series(self, db: str, measurement: str, series: str) -> None:
+        if self.series(db, measurement).where(F.col("series") == series).isEmpty():
+            raise EngineError("NO_SUCH_SERIES", f"{db}/{measurement}/{series}")
+
+    def count(self, db: str, measurement: str, tiers: tuple[str, ...] = ("base", "tail")) -> DataFrame:
+        """(series, npoints): live points in the tiers named: `base` is what is committed, `tail` what isn't yet."""
+        return self.points(db, measurement, tiers).groupBy("series").agg(F.count(F.lit(1)).alias("npoints"))
+
     def watermarks(self, db: str, measurement: str, manifest: dict | None = None) -> DataFrame:
         """(series, time_first): live points are not older."""
         manifest = manifest or self._manifest(db, measurement)[1]
@@ -207,7 +226,6 @@ class Store:
             self._fs.delete(self._path(hold), True)
 
     def _append(self, db, measurement, schema, n, manifest, batch, ordered) -> int:
-        names = [f for f, _ in schema.fields]
         bad = F.col("series").isNull() | F.col("time_ns").isNull() | (F.col("time_ns") < 0) | (F.length("series") == 0) | F.col("series").rlike(r"[\s/\\]")
         wide = F.lit(False)
         for f, k in schema.fields:
@@ -232,13 +250,41 @@ class Store:
         if manifest["deletes"]:
             w = self.watermarks(db, measurement, manifest).withColumnRenamed("series", "__s")
             fresh = fresh.join(w, fresh.series == w["__s"], "left").where("time_first is null or time_ns >= time_first").drop("__s", "time_first")
+        state = self._state(db, measurement, manifest)
         span = fresh.groupBy("series").agg(F.min("time_ns").alias("b0"), F.max("time_ns").alias("b1"))
-        live = self._live(db, measurement, manifest)
-        old = live.join(span.select("series"), "series", "left_semi")
-        newest = old.groupBy("series").agg(F.max("time_ns").alias("newest"))
-        bounds = span.join(newest, "series")
-        both = fresh.join(bounds, "series").where("time_ns <= newest")
-        stored = old.join(bounds, "series").where("time_ns between b0 and least(b1, newest)")
+        span = span.join(state, "series", "left").select("series", "b0", F.least("b1", "newest").alias("b1"), "newest")
+        low, high = span.where("b0 <= newest").agg(F.min("b0"), F.max("b1")).first()
+        if low is not None:  # only a batch that goes back before a series' newest point has stored ones to compare
+            self._compare(schema, fresh, span, self._live(db, measurement, manifest).where(F.col("time_ns").between(low, high)))
+        new = fresh.join(state, "series", "left").where("newest is null or time_ns > newest").drop("newest")
+        count = new.count()
+        if not count:
+            return 0
+        tier = "base" if count > self.options.wal_max_entries else "tail"
+        folder, marks, p = f"folder={tier}-{uuid.uuid4().hex}", f"state-{uuid.uuid4().hex}", self._measurement(db, measurement)
+        self._write(new, f"{p}/{folder}")
+        ends = state.unionByName(new.groupBy("series").agg(F.max("time_ns").alias("newest")))
+        ends.groupBy("series").agg(F.max("newest").alias("newest")).coalesce(1).write.parquet(f"{p}/{marks}")
+        now = manifest | {tier: manifest[tier] + [folder], "state": [marks]}
+        self._commit(db, measurement, n, now)
+        if tier == "tail":
+            self._commit_full_tail(db, measurement, n + 1, now)
+        return count
+
+    def _commit_full_tail(self, db: str, measurement: str, n: int, manifest: dict) -> None:
+        """Move the tail to the base when it holds more than it should; the base is not read."""
+        most = self.options.wal_max_entries
+        tail = self._live(db, measurement, manifest, ("tail",))
+        if len(manifest["tail"]) > max(1, most // 16) or tail.count() > most:
+            folder = f"folder=base-{uuid.uuid4().hex}"
+            self._write(tail, f"{self._measurement(db, measurement)}/{folder}")
+            self._commit(db, measurement, n, manifest | {"base": manifest["base"] + [folder], "tail": []})
+
+    def _compare(self, schema, fresh: DataFrame, span: DataFrame, stored: DataFrame) -> None:
+        """Raise unless the points of the batch up to each series' newest one are all those stored in their range."""
+        names = [f for f, _ in schema.fields]
+        both = fresh.join(span, "series").where("time_ns <= newest")
+        stored = stored.join(span, "series").where("time_ns between b0 and b1")
         key = ["series", "time_ns"]
         x = both.select(*key, F.lit(1).alias("__x"), *[F.col(f"`{f}`").alias(f"x_{f}") for f in names])
         y = stored.select(*key, F.lit(1).alias("__y"), *[F.col(f"`{f}`").alias(f"y_{f}") for f in names])
@@ -253,15 +299,6 @@ class Store:
         worst = met.agg(F.max(wrong)).first()[0]
         if worst:
             raise EngineError({3: "TIMESTAMP_OVERWRITE_MISMATCH", 2: "BITMAP_OVERWRITE_MISMATCH", 1: "FIELD_OVERWRITE_MISMATCH"}[worst])
-        new = fresh.join(newest, "series", "left").where("newest is null or time_ns > newest").drop("newest")
-        count = new.count()
-        if not count:
-            return 0
-        tier = "base" if count > self.options.wal_max_entries else "tail"
-        folder = f"{tier}-{uuid.uuid4().hex}"
-        self._write(new, f"{self._measurement(db, measurement)}/{folder}")
-        self._commit(db, measurement, n, manifest | {tier: manifest[tier] + [folder]})
-        return count
 
     def _write(self, df: DataFrame, path: str) -> None:
         """A folder per series, sorted by time in each file, so that row groups have narrow time bounds."""
@@ -272,27 +309,36 @@ class Store:
 
     def delete_until(self, db: str, measurement: str, series: str, t: int) -> None:
         """Delete points of a series with time_ns <= t, for good: later writes below are dropped too."""
+        self.delete_all_until(db, measurement, self.spark.createDataFrame([(series, t)], "series string, t long"))
+
+    def delete_all_until(self, db: str, measurement: str, ends: DataFrame) -> None:
+        """delete_until for the rows (series, t) of a frame, in one commit."""
         self.schema(db, measurement)
         n, manifest = self._manifest(db, measurement)
-        after = self._live(db, measurement, manifest).where((F.col("series") == series) & (F.col("time_ns") > t)).agg(F.min("time_ns")).first()[0]
-        before = self.watermarks(db, measurement, manifest).where(F.col("series") == series).first()
-        first = max(after if after is not None else t + 1, before.time_first if before else 0)
-        if before and before.time_first >= t + 1:
-            return
+        ends = ends.groupBy("series").agg(F.max("t").alias("t"))
+        marks = self.watermarks(db, measurement, manifest).withColumnRenamed("time_first", "before")
+        ends = ends.join(marks, "series", "left").where("before is null or before < t + 1")
+        after = self._live(db, measurement, manifest).select("series", "time_ns").join(ends.select("series", "t"), "series").where("time_ns > t")
+        after = after.groupBy("series").agg(F.min("time_ns").alias("after"))
+        first = ends.join(after, "series", "left").select("series", F.greatest(F.coalesce("after", F.col("t") + 1), F.coalesce("before", F.lit(0).cast("long"))).alias("time_first"))
         folder = f"deletes-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(series, first)], "series string, time_first long").coalesce(1).write.parquet(f"{self._measurement(db, measurement)}/{folder}")
+        path = f"{self._measurement(db, measurement)}/{folder}"
+        first.coalesce(1).write.parquet(path)
+        if self.spark.read.schema("series string, time_first long").parquet(path).isEmpty():
+            self._fs.delete(self._path(path), True)
+            return
         self._commit(db, measurement, n, manifest | {"deletes": manifest["deletes"] + [folder]})
 
     def compact(self, db: str, measurement: str) -> None:
         """Rewrite all live points as one sorted base and drop what was deleted; readers keep their files
         until vacuum()."""
         n, manifest = self._manifest(db, measurement)
-        folder, marks = f"base-{uuid.uuid4().hex}", f"deletes-{uuid.uuid4().hex}"
+        folder, marks = f"folder=base-{uuid.uuid4().hex}", f"deletes-{uuid.uuid4().hex}"
         p = self._measurement(db, measurement)
         self._write(self._live(db, measurement, manifest), f"{p}/{folder}")
         if manifest["deletes"]:
             self.watermarks(db, measurement, manifest).coalesce(1).write.parquet(f"{p}/{marks}")
-        self._commit(db, measurement, n, {"base": [folder], "tail": [], "deletes": [marks] if manifest["deletes"] else []})
+        self._commit(db, measurement, n, {"base": [folder], "tail": [], "deletes": [marks] if manifest["deletes"] else [], "state": manifest["state"]})
 
     def vacuum(self, db: str, measurement: str) -> None:
         """Delete data folders that the newest manifest doesn't name."""
@@ -300,5 +346,5 @@ class Store:
         named = {x for v in manifest.values() for x in v}
         p = self._measurement(db, measurement)
         for x in self._names(p):
-            if re.match(r"(base|tail|deletes|held)-", x) and x not in named:
+            if re.match(r"(folder=|deletes-|held-|state-)|.*\.new$", x) and x not in named:
                 self._fs.delete(self._path(f"{p}/{x}"), True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 import time
 from collections.abc import Callable
 
@@ -32,12 +34,17 @@ class Reflector:
 
     def __init__(self, local: Store, remote: Store, databases: dict[str, str] | None = None):
         self.local, self.remote, self.databases = local, remote, databases or {}
+        self._one = threading.RLock()
 
     def _remote(self, db: str) -> str:
         return self.databases.get(db, db)
 
     def write(self, db: str, measurement: str, points: DataFrame) -> bool:
         """True if the points reached the remote store. A refused batch is an error, not a failure to send."""
+        with self._one:
+            return self._write(db, measurement, points)
+
+    def _write(self, db: str, measurement: str, points: DataFrame) -> bool:
         if self.pending(db, measurement):
             self.local.append(db, measurement, points)
             return False
@@ -59,23 +66,37 @@ class Reflector:
         return not self.local.points(db, measurement).isEmpty()
 
     def flush(self, db: str, measurement: str) -> int:
-        """Send what is kept; then delete it locally, series by series, up to the last point sent."""
+        """Send what is kept; then delete it locally, up to each series' last point sent, in one commit."""
         held = self.local.points(db, measurement)
-        last = held.groupBy("series").agg(F.max("time_ns").alias("t"))
-        ends = list(last.toLocalIterator())
-        if not ends:
+        if held.isEmpty():
             return 0
         sent = self.remote.append(self._remote(db), measurement, held)
-        for r in ends:
-            self.local.delete_until(db, measurement, r.series, r.t)
+        self.local.delete_all_until(db, measurement, held.groupBy("series").agg(F.max("time_ns").alias("t")))
         return sent
 
+    def every(self, db: str, measurement: str, seconds: float = 10.0) -> Callable[[], None]:
+        """Flush each so many seconds, also while nothing comes in; returns what ends that. One flush and one write at a time."""
+        done = threading.Event()
+
+        def loop() -> None:
+            while not done.wait(seconds):
+                with self._one:
+                    try:
+                        self.flush(db, measurement)
+                    except Exception as e:  # the remote store can't be reached now; what is kept stays, and is sent later
+                        logging.getLogger(__name__).warning("flush: %s", e)
+
+        thread = threading.Thread(target=loop, daemon=True)
+        thread.start()
+        return lambda: (done.set(), thread.join())[0]
+
     def run(self, stream: DataFrame, db: str, measurement: str, checkpoint: str, **trigger) -> StreamingQuery:
         def step(batch: DataFrame, _: int) -> None:
             self.write(db, measurement, batch)
             if self.pending(db, measurement):
                 try:
-                    self.flush(db, measurement)
+                    with self._one:
+                        self.flush(db, measurement)
                 except EngineError as e:
                     if e.name not in ("NO_SUCH_DATABASE", "NO_SUCH_MEASUREMENT"):
                         raise

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixture53 import SCHEMA, points
 from pointmill.errors import EngineError
@@ -182,3 +183,88 @@ def test_push_queue():
     now[0] = 31
     q.append({"time_ns": 4})
     assert [p["time_ns"] for p in sent] == [1, 2, 3, 4] and q.flush()
+
+
+def _points(spark, rows):
+    return spark.createDataFrame(rows, "series string, time_ns long, value double")
+
+
+def _fresh(spark, tmp_path, **options):
+    from pointmill.plans.client import Client
+    from pointmill.sources.store import StoreOptions
+
+    c = Client(spark, str(tmp_path / "s"), StoreOptions(**options))
+    c.create_database("db")
+    c.create_measurement("db", "m", "value/f64")
+    return c
+
+
+def test_series_are_known_from_the_state_alone(spark, tmp_path):
+    c = _fresh(spark, tmp_path)
+    c.store.append("db", "m", _points(spark, [("a", 1, 1.0), ("a", 2, 2.0), ("b", 5, 1.0)]))
+    with pytest.raises(EngineError, match="NO_SUCH_SERIES"):
+        c.select_points("db", "m", "c")
+    c.store._live = None  # no points are looked at
+    assert c.store.series("db", "m").count() == 2
+    manifest = c.store._manifest("db", "m")[1]
+    assert {(r.series, r.newest) for r in c.store._state("db", "m", manifest).collect()} == {("a", 2), ("b", 5)}
+
+
+def test_appends_of_later_points_do_not_compare_with_history(spark, tmp_path, monkeypatch):
+    c = _fresh(spark, tmp_path)
+    c.store.append("db", "m", _points(spark, [("a", 1, 1.0)]))
+    seen = []
+    compare = type(c.store)._compare
+    monkeypatch.setattr(type(c.store), "_compare", lambda *a: seen.append(1) or compare(*a))
+    assert c.store.append("db", "m", _points(spark, [("a", 2, 1.0), ("b", 1, 1.0)])) == 2 and not seen
+    assert c.store.append("db", "m", _points(spark, [("a", 2, 1.0), ("a", 3, 1.0)])) == 1 and seen
+
+
+def test_a_full_tail_is_committed(spark, tmp_path):
+    c = _fresh(spark, tmp_path, wal_max_entries=32)
+    for i in range(4):
+        c.store.append("db", "m", _points(spark, [("a", i, 1.0)]))
+        manifest = c.store._manifest("db", "m")[1]
+        assert len(manifest["tail"]) == (0 if i == 2 else i % 3 + 1)
+    assert [c.store.count("db", "m", (t,)).first().npoints for t in ("base", "tail")] == [3, 1]
+    c.store.vacuum("db", "m")
+    assert c.store.points("db", "m").count() == 4
+
+
+def test_manifests_appear_whole(spark, tmp_path):
+    c = _fresh(spark, tmp_path)
+    c.store.append("db", "m", _points(spark, [("a", 1, 1.0)]))
+    with pytest.raises(EngineError):
+        c.store._commit("db", "m", 0, {})
+    assert c.store.points("db", "m").count() == 1
+    assert not [x for x in c.store._names(f"{tmp_path}/s/databases/db/m") if x.endswith(".new")]
+
+
+def test_flush_is_one_commit_and_runs_by_itself(spark, tmp_path):
+    import time
+
+    from pointmill.streaming.ingest import Reflector
+
+    local, remote = _fresh(spark, tmp_path / "l"), _fresh(spark, tmp_path / "r")
+    local.store.append("db", "m", _points(spark, [(s, t, 1.0) for s in "abcd" for t in (1, 2)]))
+    r, before = Reflector(local.store, remote.store), local.store._manifest("db", "m")[0]
+    end = r.every("db", "m", 0.2)
+    until = time.monotonic() + 120
+    while local.store._manifest("db", "m")[0] == before and time.monotonic() < until:
+        time.sleep(0.2)
+    end()
+    assert local.store._manifest("db", "m")[0] == before + 1
+    assert not r.pending("db", "m") and remote.store.points("db", "m").count() == 8
+
+
+def test_sentinels_of_all_kinds(spark):
+    from pointmill.functions.schema import LARGEST, SMALLEST
+    from pointmill.operators.windows import window_agg
+
+    kinds = {"bool": "boolean", "u32": "long", "u64": "decimal(20,0)", "f32": "float", "f64": "double", "i32": "int", "i64": "long"}
+    d = spark.createDataFrame([("a", 0), ("a", 20)], "series string, time_ns long")
+    for k, t in kinds.items():
+        d = d.withColumn(k, F.lit(None).cast(t)).withMetadata(k, {"kind": k})
+    r = window_agg(d, window_ns=10, sentinels=True).first()
+    assert (r.bool_min, r.bool_max) == (1, 0)
+    assert all((r[f"{k}_min"], r[f"{k}_max"]) == (LARGEST[k], SMALLEST[k]) for k in kinds)
