@@ -153,20 +153,21 @@ def evolve(size: list[int], capacity: int, seed: int, migrants: list | None = No
     in which the best packing did not get better."""
     rng = random.Random(seed)
     bound = -(-sum(size) // capacity)
-    fit = lambda p: fitness(p, capacity)
+    scored = lambda p: (fitness(p, capacity), p)
+    score = lambda x: x[0]
     order = list(range(len(size)))
-    pool = [best_fit([], order, size, capacity), *(migrants or [])]
-    while len(pool) < population and len(pool[0]) > bound:
-        pool.append(mutate(pool[rng.randrange(len(pool))], size, capacity, rng))
-    pool.sort(key=fit, reverse=True)
+    pool = [scored(p) for p in (best_fit([], order, size, capacity), *(migrants or []))]
+    while len(pool) < population and len(pool[0][1]) > bound:
+        pool.append(scored(mutate(pool[rng.randrange(len(pool))][1], size, capacity, rng)))
+    pool.sort(key=score, reverse=True)
     idle = 0
-    while len(pool[0]) > bound and idle < patience:
-        a, b = pool[rng.randrange(2)], pool[rng.randrange(1, len(pool))]
-        child = mutate(cross(a, b, size, capacity, rng), size, capacity, rng)
-        idle = 0 if fit(child) > fit(pool[0]) else idle + 1
-        pool[-1] = max(pool[-1], child, key=fit)
-        pool.sort(key=fit, reverse=True)
-    return pool[0]
+    while len(pool[0][1]) > bound and idle < patience:
+        a, b = pool[rng.randrange(2)][1], pool[rng.randrange(1, len(pool))][1]
+        child = scored(mutate(cross(a, b, size, capacity, rng), size, capacity, rng))
+        idle = 0 if score(child) > score(pool[0]) else idle + 1
+        pool[-1] = max(pool[-1], child, key=score)
+        pool.sort(key=score, reverse=True)
+    return pool[0][1]
 
 
 PLACED = "no long, length long, district long, island int, bin long, offset long, fill long, bins long, bound long"
@@ -202,17 +203,23 @@ def _island(capacity: int, patience: int):
     return run
 
 
-def _evolved(dealt: DataFrame, capacity: int, islands: int, epochs: int, patience: int) -> DataFrame:
+#: Most tasks of an epoch; beyond them a task evolves several islands, one after the other.
+MOST_TASKS = 20_000
+
+
+def _evolved(dealt: DataFrame, capacity: int, islands: int, epochs: int, patience: int, districts: int = 1) -> DataFrame:
     """(no, length, district, bin, offset, fill): the best packing of each district (no, length, district).
 
     A district's pieces are packed by `islands` populations apart. Between epochs the best packing of each
     island, its elite, goes to the next island of the district's ring, where crossover injects its best
-    bins whole. Districts at their volume bound are done and go through no more epochs."""
+    bins whole. Districts at their volume bound are done and go through no more epochs. An island is much
+    work on few bytes, so the islands are dealt to tasks by number; by size they would share one."""
+    tasks = min(2 * districts * islands, MOST_TASKS)
     none = [F.lit(None).cast("long").alias(c) for c in ("own", "migrant")]
     open_ = dealt.select("no", "length", "district", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), *none)
     done = []
     for epoch in range(epochs):
-        placed = staged(open_.groupBy("district", "island").applyInArrow(_island(capacity, patience), PLACED))
+        placed = staged(open_.repartition(tasks, "district", "island").groupBy("district", "island").applyInArrow(_island(capacity, patience), PLACED))
         at = placed.groupBy("district").agg(F.min(F.struct("bins", "island")).alias("b"), F.min("bound").alias("bound"))
         at = staged(at.select(F.col("district").alias("at"), F.col("b.island").alias("best"), (F.col("b.bins") <= F.col("bound")).alias("done")))
         ends = F.lit(True) if epoch == epochs - 1 else F.col("done")
@@ -249,7 +256,7 @@ def pack(parts: DataFrame, capacity: int = 2048, district_rows: int = 4000, roun
             break
         districts = max(1, -(-n // district_rows))
         dealt = rest.withColumn("district", F.pmod(F.xxhash64(F.lit(turn), "no"), F.lit(districts)).cast("long"))
-        placed = staged(_evolved(dealt, capacity, islands, epochs, patience))
+        placed = staged(_evolved(dealt, capacity, islands, epochs, patience, districts))
         placed = placed.withColumn("sequence_id", F.lit(turn << 60) + F.col("district") * F.lit(1 << 20) + F.col("bin"))
         last = turn == rounds or districts == 1
         settled.append((placed if last else placed.where(F.col("fill") >= keep * capacity)).select("no", "sequence_id", "offset"))
