@@ -203,8 +203,9 @@ def _island(capacity: int, patience: int):
     return run
 
 
-#: Most tasks of an epoch; beyond them a task evolves several islands, one after the other.
-MOST_TASKS = 20_000
+#: Islands that a task evolves, one after the other, where there are many, and the most tasks of an epoch,
+#: beyond which a task gets more of them.
+ISLANDS_A_TASK, MOST_TASKS = 4, 20_000
 
 
 def _evolved(dealt: DataFrame, capacity: int, islands: int, epochs: int, patience: int, districts: int = 1) -> DataFrame:
@@ -214,7 +215,7 @@ def _evolved(dealt: DataFrame, capacity: int, islands: int, epochs: int, patienc
     island, its elite, goes to the next island of the district's ring, where crossover injects its best
     bins whole. Districts at their volume bound are done and go through no more epochs. An island is much
     work on few bytes, so the islands are dealt to tasks by number; by size they would share one."""
-    tasks = min(2 * districts * islands, MOST_TASKS)
+    tasks = min(max(2 * islands, districts * islands // ISLANDS_A_TASK), MOST_TASKS)
     none = [F.lit(None).cast("long").alias(c) for c in ("own", "migrant")]
     open_ = dealt.select("no", "length", "district", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), *none)
     done = []
