@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.errors import EngineError
@@ -10,8 +10,8 @@ from pointmill.functions.formula import compile_formula
 from pointmill.functions.schema import LARGEST, SMALLEST, SPARK_TYPES, MeasurementSchema
 from pointmill.functions.timerange import TimeRange
 
-#: A series that would get more windows than this is refused rather than exploded.
-MOST_WINDOWS = 50_000_000
+#: Windows of a gap that one array holds at most.
+GAP = 1 << 16
 
 
 def _text(x: float) -> str:
@@ -34,15 +34,25 @@ def _dense(df: DataFrame, r: TimeRange, w: int, aggregates: list[Column], zeros:
     up = None if r.t0 is None else -(-r.t0 // w) * w
     inside = TimeRange(up, r.t1).apply(df)
     agg = inside.groupBy("series", _floor(F.col("time_ns"), w).alias("window_ns")).agg(*aggregates)
-    span = agg.groupBy("series").agg(F.min("window_ns").alias("start"), F.max("window_ns").alias("stop"))
     if up is not None:
-        # a series that lives before t0 starts at t0's window, even if that is empty
-        older = df.where(F.col("time_ns") < F.lit(up).cast("long")).select("series").distinct().withColumn("older", F.lit(True))
-        span = span.join(older, "series", "left").withColumn("start", F.when(F.col("older"), F.lit(up).cast("long")).otherwise(F.col("start")))
-    many = (F.col("stop") - F.col("start")) / F.lit(w) > MOST_WINDOWS
-    span = span.withColumn("start", F.when(many, F.raise_error(F.lit(f"more than {MOST_WINDOWS} windows in a series")).cast("long")).otherwise(F.col("start")))
-    span = span.select("series", F.explode(F.sequence("start", "stop", F.lit(w).cast("long"))).alias("window_ns"))
-    return span.join(agg, ["series", "window_ns"], "left").fillna(zeros)
+        # a series that lives before t0 starts at t0's window, even if that is empty: a mark stands before it
+        older = df.where(F.col("time_ns") < F.lit(up).cast("long")).select("series").distinct()
+        agg = agg.unionByName(older.withColumn("window_ns", F.lit(up - w).cast("long")), allowMissingColumns=True)
+    agg = agg.withColumn("__before", F.lag("window_ns").over(Window.partitionBy("series").orderBy("window_ns")))
+    values = [c for c in agg.columns if c not in ("series", "window_ns", "__before")]
+    # each window with points brings the empty ones between it and the one before
+    d = agg.where("__points is not null").withColumnRenamed("window_ns", "__own")
+    d = _filled(d, F.coalesce(F.col("__before") + w, "__own"), F.col("__own"), w, "__own", *values)
+    own = F.col("__own") == F.col("window_ns")
+    return d.select("series", "window_ns", *[F.when(own, F.col(f"`{c}`")).alias(c) for c in values]).fillna(zeros)
+
+
+def _filled(df: DataFrame, start: Column, stop: Column, w: int, *others: str) -> DataFrame:
+    """A row per window from start to stop, made in two steps, so that no array holds a very long gap."""
+    wide = w * max(1, min(GAP, (1 << 60) // w))
+    d = df.select("series", *[F.col(f"`{c}`") for c in others], stop.alias("__stop"), F.explode(F.sequence(start, stop, F.lit(wide).cast("long"))).alias("__start"))
+    end = F.when(F.col("__stop") - F.col("__start") >= wide, F.col("__start") + (wide - w)).otherwise(F.col("__stop"))
+    return d.select("series", *[F.col(f"`{c}`") for c in others], F.explode(F.sequence("__start", end, F.lit(w).cast("long"))).alias("window_ns"))
 
 
 def window_agg(df: DataFrame, fields=("*",), t0=None, t1=None, window_ns: int = 10**9, sentinels: bool = False) -> DataFrame:
