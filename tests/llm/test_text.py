@@ -260,6 +260,19 @@ def test_packing_round_trip(spark, words):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_encoder_is_built_once_and_splits_as_the_library():
+    public = pytest.importorskip("public_tokenizers")
+    files = (public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    encode = packing.encoder(*files)
+    assert packing.encoder(*files) is encode and packing.GPT2 == public.PATTERN
+    rng, whole = random.Random(3), packing.Encoder(files[0], None, None)
+    bits = [*" \n\t\x1c\x85\xa0\u3000\u200d\u0301\x00'_!", "  ", "\r\n", "a", "Zz", "é", "'s", "'S", "'ll", "don't", "12", "½", "Ⅷ", "一", "...", "😀", "힣"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", " ", "a  ", "a \n b", "\n\nb", "x" * 5000, "ab  c " * (packing.LONG // 6 + 1)]
+    assert all(encode(t).tolist() == whole(t).tolist() for t in texts)
+    assert "exact" not in vars(encode)  # the library's own file is read only for texts that spell a special token
+    assert encode("a <|endoftext|>").tolist() == whole("a <|endoftext|>").tolist()
+
+
 def test_genetic_operators_keep_every_item():
     rng = random.Random(9)
     size = [rng.randint(200, 700) for _ in range(120)]
@@ -269,6 +282,9 @@ def test_genetic_operators_keep_every_item():
         assert sorted(i for _, held in p for i in held) == list(range(120))
         assert all(fill == sum(size[i] for i in held) <= 1000 for fill, held in p)
     assert len(packing.evolve(size, 1000, 3)) <= len(a)
+    before = [(fill, list(held)) for fill, held in b]
+    more = packing.best_fit(b, [120, 121], [*size, 1, 0], 1000)
+    assert b == before and sorted(i for _, held in more for i in held) == list(range(122))
 
 
 def test_search_beats_best_fit():
