@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -164,17 +165,24 @@ def decisive(word: bytes) -> bool:
     return word in DECISIVE or word[:1].isdigit()
 
 
-def told_apart(template: list[bytes], words: list[bytes], i: int, j: int) -> bool:
+#: Between two words: the end of a sentence, or an empty line.
+_ENDS = re.compile(rb"[.!?;][\"')\]]*\s|\n\s*\n")
+
+
+def told_apart(template: list[bytes], words: list[bytes], i: int, j: int, gap: Callable[[int], bytes]) -> bool:
     """Whether words[i:j] has the template's decisive words and no others, in order.
 
     A short template, a notice of one line, also has no word inside that it lacks, does not follow "not",
-    and ends where the document's variant of the name does not go on ("CC BY" before "SA")."""
+    and ends where the document's variant of the name does not go on ("CC BY" before "SA"). Words of the
+    sentences before and after, as gap(n), the bytes before words[n], parts them, are neither."""
     plain = lambda ws: [w for w in ws if decisive(w)]
     if plain(template) != plain(words[i:j]):
         return False
     if len(template) > SHORT:
         return True
-    return j - i <= len(template) and words[i - 1 : i] != [b"not"] and not (j < len(words) and words[j] in DECISIVE and words[j] not in (b"not", b"by"))
+    denied = words[i - 1 : i] == [b"not"] and not _ENDS.search(gap(i))
+    goes_on = j < len(words) and words[j] in DECISIVE and words[j] not in (b"not", b"by") and not _ENDS.search(gap(j))
+    return j - i <= len(template) and not denied and not goes_on
 
 
 #: Templates of at most so many words are notices of one line.
@@ -185,6 +193,7 @@ def hits(index: Index, text: str | None, hashes: WordHashes, least: float = 0.7,
     """(license, coverage, matched words, words of the template, first word, past-last word, first byte,
     past-last byte) of the licenses in a text, best first where they overlap; each stretch once."""
     words, a, b = tokens(text)
+    gap = lambda n: text.encode("utf-8", "replace")[b[n - 1] : a[n]]
     found = []
     for template, starts in index.candidates(hashes.of(words)).items() if words else ():
         last = None
@@ -193,7 +202,7 @@ def hits(index: Index, text: str | None, hashes: WordHashes, least: float = 0.7,
                 continue
             last = s
             m, i, j = align(index.words[template], words, s, band)
-            if m and m / len(index.words[template]) >= least and told_apart(index.words[template], words, i, j):
+            if m and m / len(index.words[template]) >= least and told_apart(index.words[template], words, i, j, gap):
                 found.append((m / len(index.words[template]), m, template, i, j))
     taken: list[tuple[int, int]] = []
     for coverage, m, template, i, j in sorted(found, key=lambda x: (-x[1] * x[0], x[2], x[3])):

@@ -495,6 +495,19 @@ def test_short_templates(words):
         licenses.Index({"x": ("...",)})
 
 
+@pytest.mark.parametrize(("text", "license"), [
+    ("Released under the MIT License. BSD tools build it.", "MIT"), ("Released under the MIT License.) GNU make builds it.", "MIT"),
+    ("é Released under the MIT License\n \nBSD notes", "MIT"), ("All of it, or not. Released under the MIT License.", "MIT"),
+    ("Licensed under CC BY 4.0. SA is no part of it.", "CC-BY-4.0"), ("Licensed under CC BY 4.0 SA.", None), ("Licensed under CC BY 4.0\nSA.", None),
+    ("Licensed under CC BY 4.0-NC.SA", None), ("This is not released under the MIT License.", None),
+])
+def test_licenses_end_with_their_sentence(text, license):
+    from pointmill.llm.common import WordHashes
+
+    for t in (text, text.upper()):
+        assert [h[0] for h in licenses.hits(licenses.Index(), t, WordHashes())] == ([license] if license else [])
+
+
 def test_licenses_overlap_clash_and_long_texts(spark, words):
     three = licenses.TEMPLATES["BSD-3-Clause"][0]
     rows = [(1, " ".join(words(20_000)) + " " + three, "s"), (2, licenses.TEMPLATES["BSD"][0] + " " + " ".join(words(9)), "s")]
