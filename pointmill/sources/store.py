@@ -30,12 +30,14 @@ _SUFFIX = {"": 1, "K": 2**10, "M": 2**20, "G": 2**30, "T": 2**40}
 class StoreOptions:
     """chunk_size in bytes of 8-byte time stamps (a power of two, 128 or more) sets rows per file;
     wal_max_entries is the largest append that goes to the tail, and how many points or, a sixteenth of it,
-    folders the tail holds before it is committed; write_throttle_ns spaces stream triggers."""
+    folders the tail holds before it is committed; write_throttle_ns spaces stream triggers; ties lets a
+    batch without an order hold several points of a series at one time, as events do: all are kept."""
 
     chunk_size: int = 2 * 2**20
     wal_max_entries: int = 128
     write_throttle_ns: int = 0
     compression: str = "zstd"
+    ties: bool = False
 
     def __post_init__(self):
         if self.chunk_size < 128 or self.chunk_size & (self.chunk_size - 1):
@@ -209,7 +211,9 @@ class Store:
         Points below their series' watermark are dropped. Points not after the series' newest stored one
         must repeat stored points exactly, all that lie between the first and last of them, and are then
         dropped; else the whole batch is refused. `order` names a column that numbers the points as
-        sent: time must rise with it. Without it, only repeated time stamps are out of order.
+        sent: time must rise with it. Without it, only repeated time stamps are out of order, and in a
+        store with ties not even these: points of one time are repeated together, each as often as it is
+        stored, and only at the series' newest time may a batch bring more of them, which are new.
         """
         schema = self.schema(db, measurement)
         n, manifest = self._manifest(db, measurement)
@@ -238,7 +242,8 @@ class Store:
             raise EngineError("INVALID_SERIES")
         if seen[2]:
             raise EngineError("INVALID_ARGUMENT", "value out of its type's range")
-        if not batch.groupBy("series", "time_ns").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        ties = self.options.ties and not ordered
+        if not ties and not batch.groupBy("series", "time_ns").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             raise EngineError("OUT_OF_ORDER_TIMESTAMPS")
         if ordered:
             from pyspark.sql import Window
@@ -254,9 +259,13 @@ class Store:
         span = fresh.groupBy("series").agg(F.min("time_ns").alias("b0"), F.max("time_ns").alias("b1"))
         span = span.join(state, "series", "left").select("series", "b0", F.least("b1", "newest").alias("b1"), "newest")
         low, high = span.where("b0 <= newest").agg(F.min("b0"), F.max("b1")).first()
-        if low is not None:  # only a batch that goes back before a series' newest point has stored ones to compare
-            self._compare(schema, fresh, span, self._live(db, measurement, manifest).where(F.col("time_ns").between(low, high)))
         new = fresh.join(state, "series", "left").where("newest is null or time_ns > newest").drop("newest")
+        if low is not None:  # only a batch that goes back before a series' newest point has stored ones to compare
+            stored = self._live(db, measurement, manifest).where(F.col("time_ns").between(low, high))
+            self._compare(schema, fresh, span, stored, ties)
+            if ties:
+                at_newest = lambda d: d.join(state, "series").where("time_ns = newest").select(*fresh.columns)
+                new = new.unionByName(at_newest(fresh).exceptAll(at_newest(stored)))
         count = new.count()
         if not count:
             return 0
@@ -280,23 +289,27 @@ class Store:
             self._write(tail, f"{self._measurement(db, measurement)}/{folder}")
             self._commit(db, measurement, n, manifest | {"base": manifest["base"] + [folder], "tail": []})
 
-    def _compare(self, schema, fresh: DataFrame, span: DataFrame, stored: DataFrame) -> None:
-        """Raise unless the points of the batch up to each series' newest one are all those stored in their range."""
+    def _compare(self, schema, fresh: DataFrame, span: DataFrame, stored: DataFrame, ties: bool) -> None:
+        """Raise unless the points of the batch up to each series' newest one are all those stored in their range,
+        and with ties as many, or more at the newest time."""
         names = [f for f, _ in schema.fields]
         both = fresh.join(span, "series").where("time_ns <= newest")
         stored = stored.join(span, "series").where("time_ns between b0 and b1")
         key = ["series", "time_ns"]
-        x = both.select(*key, F.lit(1).alias("__x"), *[F.col(f"`{f}`").alias(f"x_{f}") for f in names])
-        y = stored.select(*key, F.lit(1).alias("__y"), *[F.col(f"`{f}`").alias(f"y_{f}") for f in names])
-        met = x.join(y, key, "full_outer")
-        masks, values = F.lit(False), F.lit(False)
-        for f in names:
-            a, b = F.col(f"`x_{f}`"), F.col(f"`y_{f}`")
-            masks = masks | (a.isNull() != b.isNull())
-            values = values | ~a.eqNullSafe(b)
-        alone = F.col("__x").isNull() | F.col("__y").isNull()
-        wrong = F.when(alone, 3).when(masks, 2).when(values, 1)
-        worst = met.agg(F.max(wrong)).first()[0]
+        fields = [F.col(f"`{f}`").alias(f"v_{f}") for f in names]
+        end = (F.col("time_ns") == F.col("newest")).alias("__end")
+        x = both.select(*key, end, *fields, F.lit(1).alias("__x"), F.lit(0).alias("__y"))
+        y = stored.select(*key, end, *fields, F.lit(0).alias("__x"), F.lit(1).alias("__y"))
+        # equal points are counted, then those of equal masks, then those of equal times, in one exchange
+        off = (F.col("__y") > F.col("__x")) | (F.col("__x") > F.col("__y")) & ~(F.lit(ties) & F.col("__end"))
+        counts = [F.sum("__x").alias("__x"), F.sum("__y").alias("__y")]
+        mask = F.concat(*[F.col(f"`v_{f}`").isNull().cast("int").cast("string") for f in names]).alias("__mask")
+        met = x.unionByName(y).repartition(*key).groupBy(*key, "__end", *[f"`v_{f}`" for f in names]).agg(*counts)
+        met = met.select(*key, "__end", mask, "__x", "__y", F.when(off, 1).alias("__off"))
+        met = met.groupBy(*key, "__end", "__mask").agg(*counts, F.max("__off").alias("__off"))
+        met = met.withColumn("__off", F.when(off, 2).otherwise(F.col("__off")))
+        met = met.groupBy(*key, "__end").agg(*counts, F.max("__off").alias("__off"))
+        worst = met.agg(F.max(F.when(off, 3).otherwise(F.col("__off")))).first()[0]
         if worst:
             raise EngineError({3: "TIMESTAMP_OVERWRITE_MISMATCH", 2: "BITMAP_OVERWRITE_MISMATCH", 1: "FIELD_OVERWRITE_MISMATCH"}[worst])
 
