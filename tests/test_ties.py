@@ -13,7 +13,7 @@ from test_entry import norm
 
 
 def rows():
-    """Two values at one time, one value twice, both at the bounds of the queries, and at the end four at one time."""
+    """Two values at one time, one value twice, both at the bounds of the queries, and at the end four at one time; and a series of two points."""
     at = lambda ns: datetime(1970, 1, 1) + timedelta(microseconds=ns // 1000)
     hour = 3600 * 10**9
     for kind in ("click", "error", "view"):
@@ -22,6 +22,7 @@ def rows():
         values = [round(1.5 + 7.25 * i, 2) for i in range(len(times))]
         values[-1] = values[-2] = values[-3]
         yield from sorted((at(t), kind, v) for t, v in zip(times, values))
+    yield from ((at(t), "signup", 3.0) for t in (T0 - hour, T1 + hour))
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +35,7 @@ def sf(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["append_conflict"])
+@pytest.mark.parametrize("name", ["append_conflict", "command_text_delete"])
 def test_events_of_one_time(spark, sf, name):
     query, sql = CATALOGUE[name]
     got = query(spark, sf)
