@@ -35,7 +35,7 @@ def sf(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["append_conflict", "command_text_delete", "command_text_active", "append_idempotent"])
+@pytest.mark.parametrize("name", ["append_conflict", "command_text_delete", "command_text_active", "append_idempotent", "command_text_select"])
 def test_events_of_one_time(spark, sf, name):
     query, sql = CATALOGUE[name]
     got = query(spark, sf)
