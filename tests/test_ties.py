@@ -35,7 +35,7 @@ def sf(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["append_conflict", "command_text_delete", "command_text_active", "append_idempotent", "command_text_select", "command_text_mean", "count_tiers", "delete_front", "delete_then_append", "late_points_refused", "list_stored_series", "snapshot_read"])
+@pytest.mark.parametrize("name", ["append_conflict", "command_text_delete", "command_text_active", "append_idempotent", "command_text_select", "command_text_mean", "count_tiers", "delete_front", "delete_then_append", "late_points_refused", "list_stored_series", "snapshot_read", "store_and_forward"])
 def test_events_of_one_time(spark, sf, name):
     query, sql = CATALOGUE[name]
     got = query(spark, sf)
