@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointmill.errors import EngineError
+from pointmill.functions.formula import divide
 from pointmill.functions.schema import UNSIGNED, MeasurementSchema
 from pointmill.functions.timerange import TimeRange
 from pointmill.operators.neighbours import with_previous
@@ -23,10 +24,10 @@ def _minus(a: Column, b: Column, kind: str) -> Column:
     return a - b
 
 
-def _field(df: DataFrame, field: str) -> tuple[DataFrame, str]:
+def _field(df: DataFrame, field: str, *others: Column) -> tuple[DataFrame, str]:
     schema = MeasurementSchema.of(df)
     (name,) = schema.resolve([field])
-    return df.select("series", "time_ns", F.col(f"`{name}`").alias("value")), schema.kinds[name]
+    return df.select("series", "time_ns", F.col(f"`{name}`").alias("value"), *others), schema.kinds[name]
 
 
 def tare(df: DataFrame, field: str) -> DataFrame:
@@ -42,16 +43,19 @@ def difference(df: DataFrame, field: str) -> DataFrame:
     return with_previous(d, ["value"]).select("series", "time_ns", _minus(F.col("value"), F.col("__prev.value"), kind).alias("value"))
 
 
-def derivative(df: DataFrame, field: str, period: str | float = "sec") -> DataFrame:
-    """Change per period (sec, min, hour or seconds); an unsigned difference wraps before it is scaled."""
+def derivative(df: DataFrame, field: str, period: str | float = "sec", order: str | None = None) -> DataFrame:
+    """Change per period (sec, min, hour or seconds); an unsigned difference wraps before it is scaled.
+
+    Between points of one time, which the column `order` puts in order, it is infinite, or NaN without a change.
+    """
     seconds = PERIODS.get(period, period)
     if not isinstance(seconds, (int, float)):
         raise EngineError("INVALID_ARGUMENT", f"period {period!r}")
-    d, kind = _field(df, field)
-    d = with_previous(d, ["value"])
+    d, kind = _field(df, field, *([F.col(f"`{order}`").alias("__order")] if order else []))
+    d = with_previous(d, ["value"], order=("__order",) if order else ())
     dt = (F.col("time_ns") - F.col("__prev.time_ns")).cast("double") / F.lit(1e9)
     dv = _minus(F.col("value"), F.col("__prev.value"), kind).cast("double")
-    return d.select("series", "time_ns", (F.lit(float(seconds)) * dv / F.when(dt != 0, dt)).alias("value"))
+    return d.select("series", "time_ns", divide(F.lit(float(seconds)) * dv, dt).alias("value"))
 
 
 def envelope(windows: DataFrame) -> DataFrame:

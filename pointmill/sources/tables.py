@@ -28,6 +28,6 @@ def from_timestamps(df: DataFrame, series: str, ts: str, fields: list[str], t0=N
     return out if t1 is None else out.where(F.col("time_ns") <= F.lit(t1).cast("long"))
 
 
-def events(spark: SparkSession, sf_dir: str, t0=None, t1=None) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, t0=None, t1=None, fields: tuple[str, ...] = ("value",)) -> DataFrame:
     """The events table: a series per event type, with field `value`."""
-    return from_timestamps(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", ["value"], t0, t1)
+    return from_timestamps(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", list(fields), t0, t1)
