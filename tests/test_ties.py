@@ -53,7 +53,7 @@ def test_events_of_one_time(spark, sf, name):
     same_as_sql(spark, sf, *CATALOGUE[name])
 
 
-@pytest.mark.parametrize("name", ["derivative_hour", "derivative_min"])
+@pytest.mark.parametrize("name", ["derivative_hour", "derivative_min", "derivative_sec"])
 def test_derivatives_of_events_of_one_time(spark, sf, name):
     """The SQL leaves the order of one time open, and DuckDB takes them as it likes; here in that of their ids."""
     query, sql = CATALOGUE[name]
