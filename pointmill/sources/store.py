@@ -23,6 +23,8 @@ from pointmill.errors import EngineError
 from pointmill.functions.schema import RANGES, MeasurementSchema, check_component
 
 VERSION = "1"
+#: Bytes of state files up to which rows per series are broadcast.
+BROADCAST = 8 * 2**20
 _SUFFIX = {"": 1, "K": 2**10, "M": 2**20, "G": 2**30, "T": 2**40}
 
 
@@ -258,11 +260,13 @@ class Store:
         state = self._state(db, measurement, manifest)
         span = fresh.groupBy("series").agg(F.min("time_ns").alias("b0"), F.max("time_ns").alias("b1"))
         span = span.join(state, "series", "left").select("series", "b0", F.least("b1", "newest").alias("b1"), "newest")
-        low, high = span.where("b0 <= newest").agg(F.min("b0"), F.max("b1")).first()
+        span = span.where("b0 <= newest")  # of others no stored point is met
+        low, high = span.agg(F.min("b0"), F.max("b1")).first()
         new = fresh.join(state, "series", "left").where("newest is null or time_ns > newest").drop("newest")
         if low is not None:  # only a batch that goes back before a series' newest point has stored ones to compare
             stored = self._live(db, measurement, manifest).where(F.col("time_ns").between(low, high))
-            self._compare(schema, fresh, span, stored, ties)
+            # rows per series; Spark can't tell that they are few, and would put all points of a series in one task
+            self._compare(schema, fresh, F.broadcast(span) if self._few_series(db, measurement, manifest) else span, stored, ties)
             if ties:
                 at_newest = lambda d: d.join(state, "series").where("time_ns = newest").select(*fresh.columns)
                 new = new.unionByName(at_newest(fresh).exceptAll(at_newest(stored)))
@@ -289,6 +293,11 @@ class Store:
             self._write(tail, f"{self._measurement(db, measurement)}/{folder}")
             self._commit(db, measurement, n, manifest | {"base": manifest["base"] + [folder], "tail": []})
 
+    def _few_series(self, db: str, measurement: str, manifest: dict) -> bool:
+        """Whether the state is small enough to be broadcast, by the size of its files."""
+        p = self._measurement(db, measurement)
+        return sum(self._fs.getContentSummary(self._path(f"{p}/{x}")).getLength() for x in manifest["state"]) <= BROADCAST
+
     def _compare(self, schema, fresh: DataFrame, span: DataFrame, stored: DataFrame, ties: bool) -> None:
         """Raise unless the points of the batch up to each series' newest one are all those stored in their range,
         and with ties as many, or more at the newest time."""

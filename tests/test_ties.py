@@ -113,3 +113,16 @@ def test_rounded_binary(spark):
     c = duckdb.connect()
     c.register("d", pa.table({"i": list(range(len(values))), "v": pa.array(values, pa.float64())}))
     assert list(map(repr, got)) == [repr(v) for (v,) in c.execute("select round(v, 6) from d order by i").fetchall()]
+
+
+def test_comparisons_broadcast_the_rows_per_series(spark, tmp_path, monkeypatch):
+    """Else all points of a series could meet in one task."""
+    c = Client(spark, str(tmp_path), StoreOptions(ties=True))
+    c.create_database("db")
+    c.create_measurement("db", "m", "value/f64")
+    batch = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("b", 2, 2.0)], "series string, time_ns long, value double")
+    c.store.append("db", "m", batch)
+    spans, compare = [], type(c.store)._compare
+    monkeypatch.setattr(type(c.store), "_compare", lambda self, schema, fresh, span, *rest: spans.append(span) or compare(self, schema, fresh, span, *rest))
+    assert c.store.append("db", "m", batch) == 0
+    assert "strategy=broadcast" in spans[0]._jdf.queryExecution().analyzed().toString()
